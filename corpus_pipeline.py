@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from landweave.llm import lines, quality
+from landweave.llm import lines, minhash, packing, quality, secrets
 from landweave.llm.common import stash, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -22,11 +22,31 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the first document stays."""
+    return minhash.keep_one(docs)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets go from the texts; every document stays."""
+    return secrets.redact(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies in the bins."""
+    return packing.pack(docs)
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("quality rules", quality_rules),
     ("line dedup", line_dedup),
+    ("near dedup", near_dedup),
+    ("secret scan", secret_scan),
+    ("best-fit packing", best_fit_packing),
 ]
 
+#: Neither signatures nor compressed bytes nor online packing can be said in SQL;
+#: tests/llm/test_pipeline.py holds the rows against a brute-force version.
 ORACLE_SQL: str | None = None
 
 
