@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lines, minhash, packing, quality, secrets
+from . import lblm, lines, minhash, packing, quality, records, secrets, sentencepieces, warc, winnow
 from .common import table
 
 
@@ -30,15 +30,41 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.query(table(spark, sf_dir, "documents"))
 
 
+def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.write(table(spark, sf_dir, "documents"))
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lblm.query(table(spark, sf_dir, "documents"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.query(table(spark, sf_dir, "pages"))
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.encode(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_secret_scans": op3_secret_scans,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_line_dedup": op5_line_dedup,
+    "op6_token_records": op6_token_records,
+    "op7_fingerprints": op7_fingerprints,
+    "op8_lm_scoring": op8_lm_scoring,
+    "op9_warc": op9_warc,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": quality.oracle(),
     "op5_line_dedup": lines.ORACLE,
+    "op9_warc": warc.ORACLE,
 }
