@@ -46,8 +46,8 @@ RULES = [
     ("table_cells", -1, "w > 0 and pipes > 0.2 * w"),
     ("repetition", -1, "w >= 12 and distinct_words < 2.2 * sqrt(w)"),
     ("repeated_lines", -1, "lines >= 4 and distinct_lines < 0.4 * lines"),
-    ("long_words", -1, "w > 0 and chars > 14.0 * w"),
-    ("short_words", -1, "w > 0 and chars < 2.5 * w"),
+    ("long_words", -1, "w >= 5 and chars > 14.0 * w"),
+    ("short_words", -1, "w >= 20 and chars < 2.5 * w"),
     ("digits", -1, "w >= 5 and digits > 0.5 * chars"),
     ("no_sentences", -1, "w >= 40 and stops < 0.005 * w"),
     ("prose", 1, f"w >= 20 and {_PLAIN} and stops > 0.02 * w and stops < 0.3 * w and chars > 4.0 * w and chars < 9.0 * w and distinct_words > 2.5 * sqrt(w)"),
