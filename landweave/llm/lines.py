@@ -167,6 +167,6 @@ l as (select doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) lin
 k as (select *, regexp_matches(line, '[^ \\t\\n\\r\\f\\v]') solid,
  row_number() over (partition by line order by doc_id nulls last, pos) rn from l)
 select doc_id, cast(sum(case when solid and rn > 1 then 1 else 0 end) as integer) lines_dropped,
- string_agg(line, chr(10) order by pos) filter (where not solid or rn = 1) "text"
+ case when k.text is not null then string_agg(line, chr(10) order by pos) filter (where not solid or rn = 1) end "text"
 from k group by doc_id, text
 having bool_or(solid and rn = 1) or not bool_or(solid)"""
