@@ -5,9 +5,10 @@ normaliser (dummy prefix, white space to the metaspace mark), the model (unigram
 merges in the order of the pieces' scores for BPE models), byte fallback and the
 decoder. Batches are encoded by the library's threads, as many as the task has cores.
 
-Where no piece has the metaspace mark after something else (checked), nothing can be
-merged across the start of a word, so texts are cut there: same ids, and the library
-keeps the ids of repeated words.
+Where no piece has the metaspace mark after something else (checked, with byte fallback
+and without a character map), nothing can be merged across the start of a word, so a text's
+ids are those of its words in order. A task then encodes and decodes each distinct word
+once, in batches; other models encode whole texts.
 
 Parity with the sentencepiece library is verified on every document by
 :func:`verified` and in the tests.
@@ -20,11 +21,13 @@ Whole texts are encoded.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import pick
@@ -34,6 +37,8 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 BATCH_CHARS = 1 << 20
+#: Distinct words that a task keeps before it starts anew.
+WORDS_KEPT = 400_000
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -117,6 +122,16 @@ class Model:
         return not any(MARK in p.lstrip(MARK) for p, _, kind in self.pieces if kind in (NORMAL, USER))
 
 
+_CUT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
+
+
+def _words(text: str) -> list[str]:
+    """The words of a text, each without the mark that stands before it."""
+    if "  " in text or MARK in text or text[:1] == " " or text[-1:] == " ":
+        return [w[1:] for w in _CUT(MARK + text.replace(" ", MARK))]
+    return text.split(" ") if text else []
+
+
 class Codec:
     """Encodes and decodes with the tokenizers library."""
 
@@ -127,7 +142,7 @@ class Codec:
             self.model = m = Model.parse(f.read())
         vocabulary = {p: i for i, (p, _, _) in enumerate(m.pieces)}
         if m.kind == BPE:
-            model = models.BPE(vocabulary, m.merges(), unk_token=m.pieces[m.unk_id][0], fuse_unk=True, byte_fallback=m.byte_fallback, cache_capacity=200_000)
+            model = models.BPE(vocabulary, m.merges(), unk_token=m.pieces[m.unk_id][0], fuse_unk=True, byte_fallback=m.byte_fallback, cache_capacity=0)
         elif m.kind == UNIGRAM:
             model = models.Unigram([(p, s) for p, s, _ in m.pieces], m.unk_id, m.byte_fallback)
         else:
@@ -149,22 +164,62 @@ class Codec:
         steps = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
         t.decoder = decoders.Sequence(steps + [decoders.Strip(" ", 1, 0)] if m.dummy_prefix else steps)
 
+        self.by_word = m.cuts_words() and m.kind == BPE and m.byte_fallback and m.dummy_prefix and not m.squeeze and not m.charsmap
+        if self.by_word:
+            self._words = Tokenizer(model)
+            self._words.pre_tokenizer = t.pre_tokenizer
+            self._words.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
+        self._marked = np.array([p.startswith(MARK) for p, _, _ in m.pieces])
+        self._kept: dict[str, bytes] = {}
+        self._inexact: set[str] = set()
+
     def encode(self, texts: list[str]) -> list[list[int]]:
+        """Whole texts, by the library alone."""
         return [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def encode_raw(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
+        """The ids of each text as 4-byte integers, and whether decoding them gives the text back."""
+        if not self.by_word:
+            ids = self.encode(texts)
+            return [np.array(x, dtype=np.int32).tobytes() for x in ids], [x == y for x, y in zip(texts, self.decode(ids))]
+        words = [_words(t) for t in texts]
+        if len(self._kept) > WORDS_KEPT:
+            self._kept.clear()
+            self._inexact.clear()
+        kept = self._kept
+        self._learn(list({w for some in words for w in some}.difference(kept)))
+        raw = [b"".join([kept[w] for w in some]) for some in words]
+        return raw, [MARK not in t and self._inexact.isdisjoint(some) for t, some in zip(texts, words)] if self._inexact else [MARK not in t for t in texts]
+
+    def _learn(self, new: list[str], at_once: int = 500) -> None:
+        """Encodes distinct words, many to a text that the library cuts where they begin."""
+        alone, new = [w for w in new if MARK in w], [w for w in new if MARK not in w]
+        groups = [new[i : i + at_once] for i in range(0, len(new), at_once)] + [[w] for w in alone]
+        texts = [MARK + MARK.join(g) for g in groups]
+        found = self._words.encode_batch_fast(texts, add_special_tokens=False)
+        for words, text, e, back in zip(groups, texts, found, self._words.decode_batch([e.ids for e in found], skip_special_tokens=False)):
+            ids = np.array(e.ids, dtype=np.int32)
+            # Of a word without further marks only the first piece begins with one.
+            begins = [*np.flatnonzero(self._marked[ids]).tolist(), len(ids)] if len(words) > 1 else [0, len(ids)]
+            for w, begin, end in zip(words, begins, begins[1:]):
+                self._kept[w] = ids[begin:end].tobytes()
+            if back != text.replace(MARK, " "):
+                alone = self._words.decode_batch([np.frombuffer(self._kept[w], np.int32).tolist() for w in words], skip_special_tokens=False)
+                self._inexact.update(w for w, x in zip(words, alone) if x != " " + w.replace(MARK, " "))
+
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self._tokenizer.decode_batch([[i for i in one if i not in self._silent] for one in ids], skip_special_tokens=False)
 
 
-def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    begin = held = 0
-    for i, t in enumerate(texts):
-        held += len(t or "")
-        if held > BATCH_CHARS:
-            yield begin, i + 1
-            begin, held = i + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Consecutive texts of about BATCH_CHARS bytes together."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)) if len(texts) else []
+    begin = 0
+    while begin < len(texts):
+        done = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, done + BATCH_CHARS, "right")))
+        yield begin, end
+        begin = end
 
 
 def encode(docs: DataFrame, model: str = MODEL, threads: int = 2, verify: bool = False) -> DataFrame:
@@ -181,18 +236,17 @@ def encode(docs: DataFrame, model: str = MODEL, threads: int = 2, verify: bool =
 
             other = sentencepiece.SentencePieceProcessor(model_file=model)
         for b in batches:
-            texts = b.column("text").to_pylist()
-            for i, j in _slices(texts):
-                some = [t or "" for t in texts[i:j]]
-                ids = codec.encode(some)
-                back = codec.decode(ids)
-                null = np.array([t is None for t in texts[i:j]])
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                flat = np.fromiter((x for one in ids for x in one), dtype=np.int32, count=int(offsets[-1]))
+            for i, j in _slices(b.column("text")):
+                texts = b.column("text")[i:j].to_pylist()
+                some = [t or "" for t in texts]
+                raw, exact = codec.encode_raw(some)
+                null = np.array([t is None for t in texts])
+                offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in raw])]).astype(np.int32)
+                flat = np.frombuffer(b"".join(raw), dtype=np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=pa.array(null))
-                columns = [b.column("doc_id")[i:j], lists, pa.array([x == y for x, y in zip(some, back)], mask=null)]
+                columns = [b.column("doc_id")[i:j], lists, pa.array(exact, mask=null)]
                 if verify:
-                    columns.append(pa.array([x == y for x, y in zip(ids, other.encode(some, num_threads=1))], mask=null))
+                    columns.append(pa.array([np.frombuffer(x, np.int32).tolist() == y for x, y in zip(raw, other.encode(some, num_threads=1))], mask=null))
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "round_trip", "parity"][: len(columns)])
 
     return d.mapInArrow(each, schema)
