@@ -13,8 +13,10 @@ def adjusted_potentials(potentials: DataFrame, rates: DataFrame, id_period_post:
     a cell whose sum exceeds 1 is scaled down to 1. Potentials without a rate vanish."""
     p = potentials.where(F.col("id_period_post") == id_period_post)
     r = rates.where(F.col("id_period") == id_period_post).select("id_trans", "rate")
-    mean = F.avg("value").over(Window.partitionBy("id_trans"))
-    scaled = p.withColumn("mean", mean).join(F.broadcast(r), "id_trans").withColumn("value", F.when(F.col("mean") > 0, F.col("value") * F.col("rate") / F.col("mean")).otherwise(0.0))
+    # Transitions are few and have a row for every cell: their means come from a combining aggregation
+    # and go to the rows by broadcast, as a window would bring all cells of a transition to one task.
+    means = p.groupBy("id_trans").agg(F.avg("value").alias("mean")).join(r, "id_trans")
+    scaled = p.join(F.broadcast(means), "id_trans").withColumn("value", F.when(F.col("mean") > 0, F.col("value") * F.col("rate") / F.col("mean")).otherwise(0.0))
     total = F.sum("value").over(Window.partitionBy("id_coord"))
     return scaled.withColumn("total", total).select("id_trans", "id_period_post", "id_coord", F.when(F.col("total") > 1, F.col("value") / F.col("total")).otherwise(F.col("value")).alias("value"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar
@@ -121,8 +121,8 @@ def _(p: Panel) -> DataFrame:
 @query("m4_featureless", "select id_coord, id_lulc_anterior, id_lulc_posterior, round(avg(case when id_lulc_posterior <> id_lulc_anterior then 1.0 else 0.0 end) over (partition by id_lulc_anterior), 8) prior from trans where id_period = 2")
 def _(p: Panel) -> DataFrame:
     t = transitions.transitions(p.lulc).where("id_period = 2")
-    share = F.avg((F.col("id_lulc_posterior") != F.col("id_lulc_anterior")).cast("double")).over(Window.partitionBy("id_lulc_anterior"))
-    return t.select("id_coord", "id_lulc_anterior", "id_lulc_posterior", r8(share).alias("prior"))
+    prior = t.groupBy("id_lulc_anterior").agg(r8(F.avg((F.col("id_lulc_posterior") != F.col("id_lulc_anterior")).cast("double"))).alias("prior"))
+    return t.join(F.broadcast(prior), "id_lulc_anterior").select("id_coord", "id_lulc_anterior", "id_lulc_posterior", "prior")
 
 
 @query(
