@@ -133,6 +133,6 @@ def export_params(params: DataFrame) -> DataFrame:
     })
 
 
-def clumpy_params(params: DataFrame) -> DataFrame:
+def patch_params(params: DataFrame) -> DataFrame:
     """The parameters under the names of the built-in allocator."""
     return params.select("id_run", "id_trans", F.col("mean_patch_size").alias("area_mean"), F.col("patch_size_variance").alias("area_var"), F.col("patch_elongation").alias("elongation"), "frac_expander", "frac_patcher")

@@ -114,11 +114,11 @@ class LandDatabase(ParquetStore):
     def adjusted_trans_pot_v(self, id_period_post: int) -> DataFrame:
         return potential.adjusted_potentials(self.get("trans_pot_t"), self.get("trans_rates_t"), id_period_post)
 
-    def trans_rates_dinamica_v(self, id_period: int) -> DataFrame:
+    def trans_rates_external_v(self, id_period: int) -> DataFrame:
         return transitions.rates_for_export(self.get("trans_rates_t"), self.get("trans_meta_t"), id_period)
 
-    def alloc_params_clumpy_v(self) -> DataFrame:
-        return patches.clumpy_params(self.get("alloc_params_t"))
+    def alloc_params_patches_v(self) -> DataFrame:
+        return patches.patch_params(self.get("alloc_params_t"))
 
     def _transition(self, id_trans: int) -> tuple[int, int]:
         found = self.get("trans_meta_t").where(F.col("id_trans") == id_trans).first()
@@ -277,7 +277,7 @@ class LandDatabase(ParquetStore):
             raise ValueError("coords_t has no resolution among its attributes")
         return c.crossJoin(F.broadcast(edge)).select("id_coord", F.round((F.col("y") - F.col("lat")) / resolution).cast("int").alias("row"), F.round((F.col("lon") - F.col("x")) / resolution).cast("int").alias("col"))
 
-    def alloc_clumpy(self, id_periods: Sequence[int], select_score: str, select_maximize: bool = True, area_kind: str = "lognormal", avoid: bool = True, batch_size: int = 0, seed: int = 0) -> None:
+    def alloc_patches(self, id_periods: Sequence[int], select_score: str, select_maximize: bool = True, area_kind: str = "lognormal", avoid: bool = True, batch_size: int = 0, seed: int = 0) -> None:
         """Simulates periods one after another for the active run: potentials, calibration, allocation,
         and the neighbour predictors of the new period."""
         known = [r[0] for r in self.get("periods_t").select("id_period").collect()]
@@ -288,7 +288,7 @@ class LandDatabase(ParquetStore):
             cells = self._cells().join(self.get("lulc_data_t").where(F.col("id_period") == period - 1).select("id_coord", "id_lulc"), "id_coord").select(run, "*")
             pot = self.adjusted_trans_pot_v(period).select(run, "id_trans", "id_coord", "value")
             rates = self.get("trans_rates_t").where(F.col("id_period") == period).select("id_trans", "rate")
-            par = self.alloc_params_clumpy_v().groupBy("id_trans").agg(*[F.max_by(c, "id_run").alias(c) for c in ("area_mean", "area_var", "elongation")])
+            par = self.alloc_params_patches_v().groupBy("id_trans").agg(*[F.max_by(c, "id_run").alias(c) for c in ("area_mean", "area_var", "elongation")])
             trans = self.get("trans_meta_t").where("is_viable").join(par, "id_trans", "left").join(rates, "id_trans", "left").select(run, "id_trans", "id_lulc_anterior", "id_lulc_posterior", F.coalesce("area_mean", F.lit(1.0)).alias("area_mean"), "area_var", "elongation", "rate")
             done = allocate.allocate_runs(cells, pot, trans, seed=seed * 1000 + period, area_kind=area_kind, avoid=avoid, batch_size=batch_size)
             self.put("lulc_data_t", done.where("id_lulc is not null").withColumn("id_period", F.lit(period)))
@@ -315,7 +315,7 @@ class LandDatabase(ParquetStore):
             for run in runs:
                 self.id_run = run
                 initial = settle(self.get("lulc_data_t").where(F.col("id_period") == id_periods[0] - 1).select("id_coord", F.col("id_lulc").alias("init")), "initial")
-                self.alloc_clumpy(id_periods, select_score, **options)
+                self.alloc_patches(id_periods, select_score, **options)
                 sim = self.read("lulc_data_t").where((F.col("id_run") == run) & (F.col("id_period") == id_periods[-1])).select("id_coord", F.col("id_lulc").alias("sim"))
                 obs = observed.where(F.col("id_period") == id_periods[-1]).select("id_coord", "obs")
                 maps = self._cells().join(initial, "id_coord").join(sim, "id_coord").join(obs, "id_coord")
@@ -329,10 +329,10 @@ class LandDatabase(ParquetStore):
 
     # external allocator
 
-    def export_dinamica(self, id_period: int, folder: str) -> None:
+    def export_external(self, id_period: int, folder: str) -> None:
         """The external allocator's inputs: CSV tables of rates and parameters, maps as Parquet of cells."""
         csv = lambda df, name: df.coalesce(1).write.mode("overwrite").csv(f"{folder}/{name}", header=True)  # noqa: E731 - tables of one row a transition
-        csv(self.trans_rates_dinamica_v(id_period), "trans_rates.csv")
+        csv(self.trans_rates_external_v(id_period), "trans_rates.csv")
         par = patches.export_params(self.get("alloc_params_t")).join(F.broadcast(self.get("trans_meta_t").where("is_viable")), "id_trans")
         pair = [F.col("id_lulc_anterior").alias("From*"), F.col("id_lulc_posterior").alias("To*")]
         csv(par.select(*pair, F.col("frac_expander").alias("Percent_Expander")), "expansion_table.csv")
@@ -341,16 +341,16 @@ class LandDatabase(ParquetStore):
         maps = self.adjusted_trans_pot_v(id_period).join(self._cells(), "id_coord").withColumn("layer", F.format_string("%03d_id_trans_%d", F.col("id_trans"), F.col("id_trans")))
         maps.select("layer", "row", "col", "value").write.mode("overwrite").partitionBy("layer").parquet(f"{folder}/probability")
 
-    def alloc_dinamica(self, id_periods: Sequence[int], select_score: str, folder: str, script: str | None = None, binary: str = "DinamicaConsole") -> None:
+    def alloc_external(self, id_periods: Sequence[int], select_score: str, folder: str, script: str | None = None, binary: str = "external-allocator") -> None:
         """Periods through the external allocator: its inputs are exported and its console run; if it isn't
         installed nothing changes in the period, with a warning."""
         known = [r[0] for r in self.get("periods_t").select("id_period").collect()]
         for period in build.check_periods(id_periods, known):
             self.predict_trans_pot(period, select_score)
-            self.export_dinamica(period, f"{folder}/{period}")
+            self.export_external(period, f"{folder}/{period}")
             result = f"{folder}/{period}/posterior"
             if shutil.which(binary) and script:
-                subprocess.run([binary, "-processors", "0", script], cwd=f"{folder}/{period}", check=True)
+                subprocess.run([binary, script], cwd=f"{folder}/{period}", check=True)
                 done = self.spark.read.parquet(result).join(self._cells(), ["row", "col"]).select("id_coord", F.col("value").alias("id_lulc"))
             else:
                 warnings.warn(f"{binary} isn't there: period {period} stays as the one before", stacklevel=2)

@@ -168,9 +168,9 @@ def _(p: Panel) -> DataFrame:
     return d.select("id_run", "id_trans", "mean_patch_size", (F.col("frac_expander").between(0, 1) & (F.abs(F.col("frac_expander") + F.col("frac_patcher") - 1) < 1e-9)).alias("in_range"), F.when(F.col("id_run") == 1, r8("frac_expander")).alias("frac_expander"))
 
 
-@query("p4_clumpy_params", "select cast(1 as integer) id_run, cast(p_partkey as integer) id_trans, 1.5::double area_mean, 1.5::double area_var, 1.5::double elongation from part where p_partkey < 20", panel=False)
+@query("p4_patch_params", "select cast(1 as integer) id_run, cast(p_partkey as integer) id_trans, 1.5::double area_mean, 1.5::double area_var, 1.5::double elongation from part where p_partkey < 20", panel=False)
 def _(p: Panel) -> DataFrame:
-    return patches.clumpy_params(_params(p)).where("id_run = 1").select("id_run", "id_trans", "area_mean", "area_var", "elongation")
+    return patches.patch_params(_params(p)).where("id_run = 1").select("id_run", "id_trans", "area_mean", "area_var", "elongation")
 
 
 @query("a18_global_counts", "select id_lulc, count(*) n_cells, round(cast(count(*) as double) / sum(count(*)) over (), 8) share from lulc where id_period = 2 group by 1")
@@ -261,7 +261,7 @@ def _(p: Panel) -> DataFrame:
     db.put("trans_rates_t", rates)
     db.put("trans_rates_t", transitions.extrapolate_rates(rates, db.periods_t, 100))
     db.fit_full_models(learner=models.Tree(max_depth=3))
-    db.alloc_clumpy([4, 5], "no.crossval", seed=1)
+    db.alloc_patches([4, 5], "no.crossval", seed=1)
     return db.read("lulc_data_t").groupBy("id_period", "id_lulc").agg(F.count("*").alias("n"))
 
 

@@ -81,7 +81,7 @@ def test_models_potentials_allocation(db):
     assert {r[0] for r in params.select("id_run").distinct().collect()} == {1, 2}
     assert params.where("abs(frac_expander + frac_patcher - 1) > 1e-9 and id_run = 2").count() == 0
     db.id_run = 1
-    db.alloc_clumpy([4], "classif.acc", seed=3)
+    db.alloc_patches([4], "classif.acc", seed=3)
     new = db.fetch("lulc_data_t", where="id_period = 4")
     assert new.count() == N * N and new.select("id_run").distinct().collect()[0][0] == 1
     changed = new.alias("n").join(db.fetch("lulc_data_t", where="id_period = 3").alias("o"), "id_coord").where("n.id_lulc <> o.id_lulc").count()
@@ -93,7 +93,7 @@ def test_models_potentials_allocation(db):
 def test_external_allocator_is_absent(db, tmp_path):
     db.id_run = 2
     with pytest.warns(UserWarning, match="isn't there"):
-        db.alloc_dinamica([4], "classif.acc", str(tmp_path))
+        db.alloc_external([4], "classif.acc", str(tmp_path))
     same = db.read("lulc_data_t").where("id_run = 2 and id_period = 4").alias("n").join(db.read("lulc_data_t").where("id_run = 0 and id_period = 3").alias("o"), "id_coord")
     assert same.where("n.id_lulc = o.id_lulc").count() == N * N
     assert {"From*", "To*", "Rate"} == set(db.spark.read.csv(f"{tmp_path}/4/trans_rates.csv", header=True).columns)
