@@ -8,6 +8,7 @@ keeps temporary tables in the folder that all executors share (:func:`stash`).
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -36,6 +37,13 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` as a URI that other libraries read as well: a path without a scheme lies in Hadoop's default file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return re.sub(r"^file:/(?!/)", "file:///", full)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder through Hadoop's file system; a missing one is fine."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import VOCABULARY, Encoder
-from .common import pick, remove, scratch
+from .common import pick, qualified, remove, scratch
 from .crc32c import crc32c, masked
 
 _HEAD = struct.Struct("<qBBHI")
@@ -104,11 +104,7 @@ def write(docs: DataFrame, folder: str | None = None, vocabulary: str = VOCABULA
     """Writes all records below ``folder`` (of the shared folder by default) and returns the
     index: doc_id, file, offset, length, n_tokens."""
     spark = docs.sparkSession
-    folder = folder or scratch(spark, "records")
-    if ":" not in folder:
-        folder = "file://" + folder
-    if folder.startswith("file:/") and not folder.startswith("file://"):
-        folder = "file://" + folder[5:]
+    folder = qualified(spark, folder or scratch(spark, "records"))
     at = spark._jvm.org.apache.hadoop.fs.Path(folder)
     system = at.getFileSystem(spark._jsc.hadoopConfiguration())
     system.mkdirs(at)
@@ -125,10 +121,10 @@ def write(docs: DataFrame, folder: str | None = None, vocabulary: str = VOCABULA
 
 def read(index: DataFrame, folder: str) -> DataFrame:
     """(doc_id, ids) of the records that ``index`` lists, in its order; checksums are verified."""
-    folder = folder if ":" in folder else "file://" + folder
+    folder = qualified(index.sparkSession, folder)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, path = fs.FileSystem.from_uri(folder.replace("file:///", "file:/").replace("file:/", "file:///"))
+        system, path = fs.FileSystem.from_uri(folder)
         opened: dict = {}
         for b in batches:
             docs, ids = [], []

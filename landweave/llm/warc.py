@@ -32,10 +32,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, scratch
+from .common import pick, qualified, scratch
 
 BLOCK = 1 << 18
 LEVEL = 6
+#: Pages carry no time, and a record must have one.
+NO_DATE = "1970-01-01T00:00:00Z"
 ROWS = "page_id long, url string, html string, length long, digest string, digest_ok boolean, file string, offset long"
 NAMES = ["page_id", "url", "html", "length", "digest", "digest_ok", "file", "offset"]
 _KINDS = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.string(), pa.int64()]
@@ -49,7 +51,7 @@ def record(page_id: int | None, url: str | None, html: str | None, compressed: b
     """One resource record as a gzip member. URLs are percent-encoded where a header can't hold them."""
     payload = (html or "").encode()
     head = ["WARC/1.1", "WARC-Type: resource", "Content-Type: text/html; charset=utf-8"]
-    head += [f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>"]
+    head += ["WARC-Date: " + NO_DATE, f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>"]
     if url is not None:
         head.append("WARC-Target-URI: " + quote(url, safe="!\"#$&'()*+,-./:;<=>?@[\\]^_`{|}~"))
     if html is not None:
@@ -92,14 +94,10 @@ def parse(raw: bytes) -> tuple[int | None, str | None, str | None, int, str | No
     return int(page[1]) if page else None, None if url is None else unquote(url), payload.decode() if said else None, length, said, said == digest(payload) if said else None
 
 
-def _uri(folder: str) -> str:
-    return re.sub(r"^file:/(?!/)", "file:///", folder) if ":" in folder else "file://" + folder
-
-
 def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Writes the pages below ``folder`` (of the shared folder by default); the table of (file, records)."""
     spark = pages.sparkSession
-    folder = _uri(folder or scratch(spark, "warc"))
+    folder = qualified(spark, folder or scratch(spark, "warc"))
     at = spark._jvm.org.apache.hadoop.fs.Path(folder)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(at)
 
