@@ -32,23 +32,37 @@ def isometry(e: Column, clamp: bool = True) -> Column:
 
 
 def label_components(row: np.ndarray, col: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """A number for each cell, the same for cells of one value that touch, also at corners."""
-    at = {(int(r), int(c)): i for i, (r, c) in enumerate(zip(row, col))}
-    parent = np.arange(len(row))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for (r, c), i in at.items():
-        for d in ((-1, -1), (-1, 0), (-1, 1), (0, -1)):
-            j = at.get((r + d[0], c + d[1]))
-            if j is not None and value[i] == value[j]:
-                a, b = root(i), root(j)
-                parent[max(a, b)] = min(a, b)
-    return np.array([root(i) for i in range(len(row))], dtype=np.int64)
+    """A number for each cell, the same for cells of one value that touch, also at corners: the index of
+    the component's first cell. Labels sink along all edges at once and jump to their labels' labels."""
+    n = len(row)
+    label = np.arange(n, dtype=np.int64)
+    if not n:
+        return label
+    width = int(col.max()) - int(col.min()) + 3
+    key = (row.astype(np.int64) - int(row.min())) * width + (col.astype(np.int64) - int(col.min()) + 1)
+    order = np.argsort(key, kind="stable")
+    held = key[order]
+    a, b = [], []
+    for step in (1, width - 1, width, width + 1):  # right, and the three below
+        at = np.minimum(np.searchsorted(held, key + step), n - 1)
+        other = order[at]
+        touch = (held[at] == key + step) & (value[other] == value)
+        a.append(np.flatnonzero(touch))
+        b.append(other[touch])
+    a, b = np.concatenate(a), np.concatenate(b)
+    while True:
+        x, y = label[a], label[b]
+        low = np.minimum(x, y)
+        apart = x != y
+        if not apart.any():
+            return label
+        np.minimum.at(label, x[apart], low[apart])
+        np.minimum.at(label, y[apart], low[apart])
+        while True:
+            jumped = label[label]
+            if (jumped == label).all():
+                break
+            label = jumped
 
 
 def patches(cells: DataFrame, *group: str) -> DataFrame:

@@ -89,6 +89,27 @@ def test_alloc_params(spark):
     assert none["mean_patch_size"] == 0 and none["frac_expander"] == 0 and none["patch_elongation"] is None
 
 
+def test_components_against_flood_fill():
+    rng = np.random.default_rng(8)
+    value = rng.integers(1, 3, (30, 17))
+    value[3:20, 5] = 1
+    r, c = (x.ravel() for x in np.indices(value.shape))
+    keep = rng.random(r.size) < 0.9  # with gaps
+    r, c, v = r[keep] - 4, c[keep] + 9, value.ravel()[keep]
+    got = patches.label_components(r, c, v)
+    at, want = {p: i for i, p in enumerate(zip(r.tolist(), c.tolist()))}, {}
+    for i in range(len(r)):
+        if i in want:
+            continue
+        todo = [i]
+        while todo:
+            k = todo.pop()
+            if k not in want:
+                want[k] = i
+                todo += [j for d in patches.AROUND if (j := at.get((r[k] + d[0], c[k] + d[1]))) is not None and v[j] == v[i]]
+    assert got.tolist() == [want[i] for i in range(len(r))]
+
+
 def test_rook_neighbors():
     up, down, left, right = allocate.rook_neighbors(3, 4) + 1
     assert up.tolist() == [0, 0, 0, 0, 1, 2, 3, 4, 5, 6, 7, 8] and left.tolist() == [0, 1, 2, 3, 0, 5, 6, 7, 0, 9, 10, 11]
