@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import os
 import random
 
+import numpy as np
+import pandas as pd
+
 import corpus_pipeline
 from landweave.llm import packing, quality, registry, secrets
 from landweave.llm.common import table
@@ -12,11 +16,10 @@ from tests.llm.test_operators import edited, jaccard, junk
 
 
 def brute(rows):
-    masks = quality.vote_masks(__import__("pandas").Series([t for _, t in rows]))
-    kinds, counts = __import__("numpy").unique(masks, return_counts=True)
+    """Quality, lines, near copies (to any earlier document) and secrets, row by row."""
+    masks = quality.vote_masks(pd.Series([t for _, t in rows]))
+    kinds, counts = np.unique(masks, return_counts=True)
     right = quality.expectation_maximisation(kinds, counts).right
-    import math
-
     kept = []
     for (i, t), m in zip(rows, masks):
         odds = sum(s * math.log(a / (1 - a)) for j, (a, s) in enumerate(zip(right, quality.SIGNS)) if m >> j & 1)
