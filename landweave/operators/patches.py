@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import interpolate
 from ..schemas import TABLES
+from ..sources.folders import settle
+from .graph import components
 
 #: Elongation to isometry, ascending in elongation.
 CURVE = [(0.17, 2.0), (0.171, 1.5), (0.172, 1.2), (0.32, 1.0), (0.328, 0.75), (0.333, 0.5), (0.334, 0.25), (0.34, 0.0)]
+TILE = 1024
 AROUND = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
 
 
@@ -65,18 +68,33 @@ def label_components(row: np.ndarray, col: np.ndarray, value: np.ndarray) -> np.
             label = jumped
 
 
-def patches(cells: DataFrame, *group: str) -> DataFrame:
-    """``cells`` (group columns, row, col, value) with the patch of each cell. Rasters are labelled whole,
-    in parallel across the groups."""
+def patches(cells: DataFrame, *group: str, tile: int = TILE) -> DataFrame:
+    """``cells`` (group columns, row, col, value) with the patch of each cell, a number that is the same for
+    cells of one value that touch.
+
+    Tiles are labelled in parallel; what touches across their borders are edges between tiles' patches,
+    whose connected components join them. So a raster of any size is labelled without being in one task.
+    """
     keys = list(group)
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["row", "col"])
-        return pdf.assign(patch=label_components(pdf["row"].to_numpy(), pdf["col"].to_numpy(), pdf["value"].to_numpy()))
-
-    d = cells.where("value is not null").select(*keys, F.col("row").cast("int"), F.col("col").cast("int"), F.col("value").cast("int"))
-    schema = ", ".join(f"`{n}` {t}" for n, t in d.dtypes) + ", patch long"
-    return d.groupBy(*keys).applyInPandas(label, schema)
+        first = label_components(pdf["row"].to_numpy(), pdf["col"].to_numpy(), pdf["value"].to_numpy())
+        row, col = pdf["row"].to_numpy(dtype=np.int64)[first], pdf["col"].to_numpy(dtype=np.int64)[first]
+        return pdf.assign(first=row * (1 << 32) + col)
+
+    at = lambda c: F.floor(F.col(c) / tile).cast("int")
+    d = cells.where("value is not null").select(*keys, F.col("row").cast("int"), F.col("col").cast("int"), F.col("value").cast("int"), at("row").alias("ti"), at("col").alias("tj"))
+    schema = ", ".join(f"`{n}` {t}" for n, t in d.dtypes) + ", first long"
+    d = settle(d.groupBy(*keys, "ti", "tj").applyInPandas(label, schema).withColumn("node", F.xxhash64(*keys, "first")), "labelled")
+    inner = lambda c: F.pmod(F.col(c), F.lit(tile)).between(1, tile - 2)
+    border = d.where(~(inner("row") & inner("col"))).select(*keys, "row", "col", "value", "ti", "tj", "node")
+    ahead = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 1), (1, -1), (1, 0), (1, 1))])).alias("d")
+    near = border.select(*keys, "value", "row", "col", F.col("ti").alias("ti2"), F.col("tj").alias("tj2"), F.col("node").alias("a"), ahead)
+    near = near.select(*keys, "value", (F.col("row") + F.col("d.i")).alias("row"), (F.col("col") + F.col("d.j")).alias("col"), "ti2", "tj2", "a")
+    edges = border.join(near, [*keys, "value", "row", "col"]).where("ti <> ti2 or tj <> tj2").select("a", F.col("node").alias("b")).distinct()
+    joined = components(edges)
+    return d.join(joined, "node", "left").select(*keys, "row", "col", "value", F.coalesce("label", "node").alias("patch"))
 
 
 def class_stats(labelled: DataFrame, *group: str, cell_size: float = 1.0) -> DataFrame:

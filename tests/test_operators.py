@@ -110,6 +110,21 @@ def test_components_against_flood_fill():
     assert got.tolist() == [want[i] for i in range(len(r))]
 
 
+def test_tiles_do_not_matter_for_patches(spark):
+    rng = np.random.default_rng(11)
+    value = rng.integers(1, 3, (20, 23))
+    value[2:18, 3], value[10, :] = 1, 1  # a patch through many tiles
+    cells = spark.createDataFrame([(g, i, j, int(value[i, j])) for g in (0, 1) for i in range(20) for j in range(23)], "g int, row int, col int, value int")
+
+    def parts(tile):
+        found = {}
+        for r in patches.patches(cells, "g", tile=tile).collect():
+            found.setdefault(r["patch"], set()).add((r["g"], r["row"], r["col"]))
+        return sorted(map(sorted, found.values()))
+
+    assert parts(4) == parts(64)
+
+
 def test_rook_neighbors():
     up, down, left, right = allocate.rook_neighbors(3, 4) + 1
     assert up.tolist() == [0, 0, 0, 0, 1, 2, 3, 4, 5, 6, 7, 8] and left.tolist() == [0, 1, 2, 3, 0, 5, 6, 7, 0, 9, 10, 11]
