@@ -2,20 +2,28 @@
 
 The model predicts a word from the CONTEXT words before it: the context vector is the
 sum of their vectors, each scaled element by element by the weights of its position, and
-a word's score is its product with that plus a bias. Words are the VOCABULARY most
-frequent of the corpus, by counts over all documents, and BUCKETS classes for the rest by
-hash. It is trained in numpy with noise-contrastive estimation (noise drawn from the
-corpus' word frequencies, shared by a batch), so that no normaliser is needed.
-
-Every task trains on all text of its partition from the same start, and the models are
+a word's score is its product with that plus a bias. The vocabulary follows the corpus, by
+counts over all documents: every word that occurs :func:`least_count` times has vectors of
+its own (at least the VOCABULARY most frequent words have). The others share BUCKETS classes
+by hash and get log P(word | class) from the counts of all of them, by a join.
+
+The HEAD most frequent words and the classes are predicted at once; words after them in
+groups of GROUP words of like frequency, first the group and then the word in it, both from
+the context, so that the cost of a word doesn't grow with the vocabulary but by its groups. It
+is trained in numpy with noise-contrastive estimation (noise drawn from the corpus' word
+frequencies, within a group evenly; shared by a batch), so that no normaliser is needed.
+
+Every task trains on all text of its partitions from the same start, and the models are
 averaged by their number of words: the averaging streams over a shuffle of blocks of the
-parameters, never over the driver, which receives one model of fixed size.
+parameters, never over the driver, which receives one model. The model grows with the
+vocabulary, so a core trains MODELS of them, however many partitions there are.
 
-Scoring is normalised: the logarithm of the sum over all words is computed for each distinct
-context by batched matrix products and kept for the task.
+Scoring is normalised: the logarithm of the sum over all classes is computed for each distinct
+context by batched matrix products and kept for the task, that of a group for each word in it.
 
 Defined cases: a null, empty or blank text has 0 words, log_prob 0 and no mean; texts of
-any length are scored whole; equally frequent words enter the vocabulary by hash;
+any length are scored whole; equally frequent words enter the vocabulary by hash; the
+words that the corpus doesn't have count together as one word of one occurrence a class;
 repeated rows are scored (and counted) each; an empty table gives an empty result; extra
 columns don't matter.
 """
@@ -27,28 +35,59 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import pick, stash
-from .wordhash import words_of
+from .wordhash import mix, words_of
 
 VOCABULARY = 2000
 BUCKETS = 48
+HEAD = 512
+GROUP = 512
 CONTEXT = 2
 DIMENSIONS = 24
 NOISE = 64
+GROUP_NOISE = 8
+MODELS = 2
+KEPT = 1 << 20
+ROWS = 256
 BATCH = 16384
 RATE = 0.05
 BLOCK = 8192
 
 
+def least_count(total: int) -> int:
+    """How often a word occurs that gets its own vectors, in a corpus of so many words.
+
+    With the root of the corpus, so that the vocabulary grows with it, but slower than it
+    (each worker holds the model): 20 of 4 million words, 100 of 100 million.
+    """
+    return max(5, round(total**0.5 / 100))
+
+
+def groups(size: int) -> int:
+    """The groups of a vocabulary of ``size`` classes."""
+    return max(0, -(-(size - BUCKETS - HEAD) // GROUP))
+
+
 @dataclass
 class Words:
-    """The vocabulary: sorted hashes of the frequent words, and log frequencies of all classes."""
+    """The vocabulary: sorted hashes of the words with vectors, and log frequencies of all classes.
+
+    ``rest`` has the occurrences of the other words by class, one more for words unseen;
+    ``rare`` their counts (word, n).
+    """
 
     hashes: np.ndarray
     log_freq: np.ndarray
+    rest: np.ndarray | None = None
+    rare: DataFrame | None = None
+
+    def local(self) -> Words:
+        """What the tasks need."""
+        return Words(self.hashes, self.log_freq, self.rest)
 
     @property
     def size(self) -> int:
@@ -62,6 +101,25 @@ class Words:
         return np.where(self.hashes[at] == h, at, len(self.hashes) + np.mod(h, BUCKETS))
 
 
+class Tree:
+    """Where each class is predicted: rows from ``size`` on are groups."""
+
+    def __init__(self, words: Words):
+        n, size, count = len(words.hashes), words.size, groups(words.size)
+        order = np.argsort(-words.log_freq[:n], kind="stable")
+        self.tail = order[HEAD:]
+        self.group = np.full(size, -1)
+        self.group[self.tail] = np.arange(len(self.tail)) // GROUP
+        self.top = np.where(self.group < 0, np.arange(size), size + self.group)
+        self.rows = np.concatenate([np.flatnonzero(self.group < 0), np.arange(size, size + count)])
+        self.sizes = np.bincount(self.group[self.tail], minlength=count)
+        self.log_freq = np.concatenate([words.log_freq, np.zeros(count, dtype=np.float32)])
+        if count:
+            total = np.log(np.bincount(self.group[self.tail], np.exp(words.log_freq[self.tail].astype(float)), count))
+            self.log_freq[size:] = total
+            self.log_freq[self.tail] -= total[self.group[self.tail]].astype(np.float32)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words and counts of a partition; they leave when they are many."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -89,17 +147,26 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out(*merged())
 
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> Words:
-    """From the counts of all words of all documents."""
+def vocabulary(docs: DataFrame, size: int | None = None) -> Words:
+    """From the counts of all words of all documents; the ``size`` most frequent, if given."""
     each = pick(docs, "text").mapInArrow(_count, "word long, n long")
     counts, _ = stash(each.groupBy("word").agg(F.sum("n").alias("n")), "words")
-    top = counts.orderBy(F.col("n").desc(), "word").limit(size).collect()
-    rest = {r[0]: r[1] for r in counts.groupBy(F.pmod("word", F.lit(BUCKETS)).alias("b")).agg(F.sum("n")).collect()}
-    for word, n in top:
-        rest[word % BUCKETS] -= n
-    top.sort()
-    freq = np.array([n for _, n in top] + [rest.get(b, 0) for b in range(BUCKETS)], dtype=float) + 1
-    return Words(np.array([w for w, _ in top], dtype=np.int64), np.log(freq / freq.sum()).astype(np.float32))
+    if size is None:
+        least = least_count(counts.agg(F.sum("n")).first()[0] or 0)
+        top = counts.filter(F.col("n") >= least).toArrow()
+    if size is not None or len(top) < VOCABULARY:
+        top = counts.orderBy(F.col("n").desc(), "word").limit(VOCABULARY if size is None else size).toArrow()
+    word, n = (top.column(c).to_numpy() for c in ("word", "n"))
+    rare = counts
+    if len(word):
+        last = int(n.min())
+        rare = counts.filter((F.col("n") < last) | (F.col("n") == last) & (F.col("word") > int(word[n == last].max())))
+    rest = np.ones(BUCKETS)
+    for b, k in rare.groupBy(F.pmod("word", F.lit(BUCKETS)).alias("b")).agg(F.sum("n")).collect():
+        rest[b] += k
+    order = np.argsort(word)
+    freq = np.concatenate([n[order] + 1.0, rest])
+    return Words(word[order].astype(np.int64), np.log(freq / freq.sum()).astype(np.float32), rest, rare)
 
 
 class Model:
@@ -108,7 +175,8 @@ class Model:
     def __init__(self, flat: np.ndarray, size: int):
         d, at = DIMENSIONS, 0
         self.flat = flat
-        shapes = {"context": (size + 1, d), "target": (size, d), "weights": (CONTEXT, d), "bias": (size,)}
+        out = size + groups(size)
+        shapes = {"context": (size + 1, d), "target": (out, d), "weights": (CONTEXT, d), "bias": (out,)}
         for name, shape in shapes.items():
             n = int(np.prod(shape))
             setattr(self, name, flat[at : at + n].reshape(shape))
@@ -116,14 +184,15 @@ class Model:
 
     @staticmethod
     def length(size: int) -> int:
-        return (2 * size + 1 + CONTEXT) * DIMENSIONS + size
+        out = size + groups(size)
+        return (size + 1 + out + CONTEXT) * DIMENSIONS + out
 
     @classmethod
     def start(cls, words: Words, seed: int = 11) -> Model:
         flat = np.random.default_rng(seed).normal(0, 0.1, cls.length(words.size)).astype(np.float32)
         m = cls(flat, words.size)
         m.weights[:] = 1
-        m.bias[:] = words.log_freq
+        m.bias[:] = Tree(words).log_freq
         return m
 
     def vectors(self, before: np.ndarray) -> np.ndarray:
@@ -141,50 +210,84 @@ def contexts(ids: np.ndarray, bounds: np.ndarray, start: int) -> np.ndarray:
     return out
 
 
-def _sums(rows: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
-    return np.stack([np.bincount(rows, values[:, k], size) for k in range(values.shape[1])], axis=1).astype(np.float32)
+def _sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows, and the sums of their values."""
+    order = np.argsort(rows, kind="stable")
+    rows = rows[order]
+    begin = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+    return rows[begin], np.add.reduceat(values[order], begin, axis=0)
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
 class Trainer:
     """AdaGrad on the noise-contrastive objective, batch by batch."""
 
     def __init__(self, words: Words, seed: int):
-        self.words, self.model, self.seen = words, Model.start(words), 0
+        self.words, self.tree, self.model, self.seen = words, Tree(words), Model.start(words), 0
         self._squares = Model(np.full_like(self.model.flat, 1e-10), words.size)
         self._rng = np.random.default_rng(seed)
-        self._cumulative = np.cumsum(np.exp(words.log_freq.astype(float)))
+        self._cumulative = np.cumsum(np.exp(self.tree.log_freq[self.tree.rows].astype(float)))
 
-    def _step(self, name: str, gradient: np.ndarray) -> None:
+    def _step(self, name: str, rows: np.ndarray | slice, gradient: np.ndarray) -> None:
         squares = getattr(self._squares, name)
-        squares += gradient * gradient
-        getattr(self.model, name)[...] += RATE * gradient / np.sqrt(squares)
+        now = squares[rows] + gradient * gradient
+        squares[rows] = now
+        getattr(self.model, name)[rows] += RATE * gradient / np.sqrt(now)
+
+    def _in_groups(self, ids: np.ndarray, q: np.ndarray, dq: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+        """Rows and gradients of targets and biases for words within their groups; adds to ``dq``."""
+        m, tree = self.model, self.tree
+        at = np.flatnonzero(tree.group[ids] >= 0)
+        if not len(at):
+            return [], [], []
+        at = at[np.argsort(tree.group[ids[at]], kind="stable")]
+        own, q = ids[at], q[at]
+        g, begin, which = np.unique(tree.group[own], return_index=True, return_inverse=True)
+        others = tree.tail[g[:, None] * GROUP + (self._rng.random(GROUP_NOISE) * tree.sizes[g][:, None]).astype(np.int64)]
+        log_noise = np.log(GROUP_NOISE / tree.sizes[g]).astype(np.float32)[which]
+        wrong, pulled = np.empty((len(at), GROUP_NOISE), dtype=np.float32), np.empty((len(g), GROUP_NOISE, DIMENSIONS), dtype=np.float32)
+        bounds, other = [*begin.tolist(), len(at)], m.target[others]
+        for k, (i, j) in enumerate(zip(bounds, bounds[1:])):
+            wrong[i:j] = q[i:j] @ other[k].T
+        up = _sigmoid(log_noise - np.einsum("ij,ij->i", q, m.target[own]) - m.bias[own])
+        down = -_sigmoid(wrong + m.bias[others][which] - log_noise[:, None])
+        pull = up[:, None] * m.target[own]
+        for k, (i, j) in enumerate(zip(bounds, bounds[1:])):
+            pull[i:j] += down[i:j] @ other[k]
+            pulled[k] = down[i:j].T @ q[i:j]
+        dq[at] += pull
+        return [own, others.ravel()], [up[:, None] * q, pulled.reshape(-1, DIMENSIONS)], [up, np.add.reduceat(down, begin, axis=0).ravel()]
 
     def learn(self, ids: np.ndarray, before: np.ndarray) -> None:
-        m, size = self.model, self.words.size
-        log_noise = self.words.log_freq + np.float32(np.log(NOISE))
-        noise = np.minimum(np.searchsorted(self._cumulative, self._rng.random(NOISE) * self._cumulative[-1]), size - 1)
+        m, tree = self.model, self.tree
+        log_noise = tree.log_freq + np.float32(np.log(NOISE))
+        noise = tree.rows[np.minimum(np.searchsorted(self._cumulative, self._rng.random(NOISE) * self._cumulative[-1]), len(tree.rows) - 1)]
+        top = tree.top[ids]
         parts = [m.context[before[j]] for j in range(CONTEXT)]
         q = sum(p * m.weights[j] for j, p in enumerate(parts))
-        target = m.target[ids]
-        right = np.einsum("ij,ij->i", q, target) + m.bias[ids] - log_noise[ids]
-        wrong = q @ m.target[noise].T + (m.bias[noise] - log_noise[noise])
-        up = 1 / (1 + np.exp(np.clip(right, -30, 30)))
-        down = -1 / (1 + np.exp(np.clip(-wrong, -30, 30)))
+        target = m.target[top]
+        up = _sigmoid(log_noise[top] - np.einsum("ij,ij->i", q, target) - m.bias[top])
+        down = -_sigmoid(q @ m.target[noise].T + (m.bias[noise] - log_noise[noise]))
         dq = up[:, None] * target + down @ m.target[noise]
-        g_target = _sums(ids, up[:, None] * q, size)
-        np.add.at(g_target, noise, down.T @ q)
-        g_bias = np.bincount(ids, up, size) + np.bincount(noise, down.sum(0), size)
-        g_context = sum(_sums(before[j], dq * m.weights[j], size + 1) for j in range(CONTEXT))
-        g_weights = np.stack([(dq * p).sum(0) for p in parts])
-        for name, g in (("target", g_target), ("bias", g_bias.astype(np.float32)), ("context", g_context), ("weights", g_weights)):
-            self._step(name, g / np.float32(len(ids)))
+        rows, targets, biases = self._in_groups(ids, q, dq)
+        rows = np.concatenate([top, noise, *rows])
+        n = np.float32(len(ids))
+        g_target = _sums(rows, np.concatenate([up[:, None] * q, down.T @ q, *targets]))
+        g_bias = _sums(rows, np.concatenate([up, down.sum(0), *biases]))
+        g_context = _sums(before.ravel(), np.concatenate([dq * m.weights[j] for j in range(CONTEXT)]))
+        g_weights = slice(None), np.stack([(dq * p).sum(0) for p in parts])
+        for name, (at, g) in (("target", g_target), ("bias", g_bias), ("context", g_context), ("weights", g_weights)):
+            self._step(name, at, g / n)
         self.seen += len(ids)
 
 
 def train(docs: DataFrame, words: Words) -> Model:
     """One pass over all text; the average of the partitions' models."""
     spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(words)
+    held = spark.sparkContext.broadcast(words.local())
     length = Model.length(words.size)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +305,7 @@ def train(docs: DataFrame, words: Words) -> Model:
         if trainer is not None:
             flat = trainer.model.flat
             blocks = range(0, length, BLOCK)
-            values = [(flat[i : i + BLOCK].astype(np.float64) * trainer.seen).tobytes() for i in blocks]
+            values = [flat[i : i + BLOCK].tobytes() for i in blocks]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(values)), pa.int32()), pa.array([trainer.seen] * len(values), pa.int64()), pa.array(values, pa.binary())], names=["block", "words", "sums"])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,66 +313,102 @@ def train(docs: DataFrame, words: Words) -> Model:
         seen: dict[int, int] = {}
         for b in batches:
             for block, n, raw in zip(*(c.to_pylist() for c in b.columns)):
-                sums[block] = sums.get(block, 0) + np.frombuffer(raw)
+                sums[block] = sums.get(block, 0) + np.frombuffer(raw, dtype=np.float32) * float(n)
                 seen[block] = seen.get(block, 0) + n
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(list(seen.values()), pa.int64()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["block", "words", "sums"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(list(seen.values()), pa.int64()), pa.array([(s / seen[b]).astype(np.float32).tobytes() for b, s in sums.items()], pa.binary())], names=["block", "words", "sums"])
 
     kinds = "block int, words long, sums binary"
-    n = -(-length // BLOCK)
-    found = pick(docs, "text").mapInArrow(local, kinds).repartition(n, "block").mapInArrow(total, kinds).collect()
+    n = min(-(-length // BLOCK), 48)
+    found = pick(docs, "text").coalesce(MODELS * spark.sparkContext.defaultParallelism).mapInArrow(local, kinds).repartition(n, "block").mapInArrow(total, kinds).collect()
     if not found:
         return Model.start(words)
-    flat = np.concatenate([np.frombuffer(r["sums"]) / r["words"] for r in sorted(found)]).astype(np.float32)
+    flat = np.concatenate([np.frombuffer(r["sums"], dtype=np.float32) for r in sorted(found)])
     return Model(flat, words.size)
 
 
 class Scorer:
-    """Normalised log probabilities; the normaliser of a context is computed once."""
+    """Normalised log probabilities of classes; the normalisers of KEPT contexts are kept."""
 
     def __init__(self, words: Words, model: Model):
-        self.words, self.model = words, model
-        self._normaliser = np.full((words.size + 1) ** CONTEXT, np.nan, dtype=np.float32)
+        self.words, self.model, self.tree = words, model, Tree(words)
+        self._top = np.ascontiguousarray(model.target[self.tree.rows].T), model.bias[self.tree.rows]
+        self._keys, self._normalisers = np.full(KEPT, -1), np.empty(KEPT, dtype=np.float32)
+
+    def _normalise(self, code: np.ndarray) -> np.ndarray:
+        """The logarithm of the sum over all classes and groups, for distinct contexts."""
+        base = self.words.size + 1
+        slot = (mix(code.view(np.uint64)) % np.uint64(KEPT)).astype(np.int64)
+        out = self._normalisers[slot]
+        new = np.flatnonzero(self._keys[slot] != code)
+        for i in range(0, len(new), ROWS):
+            some = new[i : i + ROWS]
+            back = np.stack([code[some] // base ** (CONTEXT - 1 - j) % base for j in range(CONTEXT)])
+            out[some] = _log_sums(self.model.vectors(back), *self._top)
+        self._keys[slot[new]], self._normalisers[slot[new]] = code[new], out[new]
+        return out
 
     def log_probs(self, ids: np.ndarray, before: np.ndarray) -> np.ndarray:
-        m, base = self.model, self.words.size + 1
+        m, tree, base = self.model, self.tree, self.words.size + 1
         code = before[0]
         for j in range(1, CONTEXT):
             code = code * base + before[j]
-        new = np.unique(code[np.isnan(self._normaliser[code])])
-        for i in range(0, len(new), 2048):
-            some = new[i : i + 2048]
-            back = np.stack([some // base ** (CONTEXT - 1 - j) % base for j in range(CONTEXT)])
-            scores = m.vectors(back) @ m.target.T
-            scores += m.bias
-            high = scores.max(axis=1, keepdims=True)
-            scores -= high
-            np.exp(scores, out=scores)
-            self._normaliser[some] = np.log(scores.sum(axis=1)) + high[:, 0]
-        score = np.einsum("ij,ij->i", m.vectors(before), m.target[ids]) + m.bias[ids]
-        return score - self._normaliser[code]
+        code, which = np.unique(code, return_inverse=True)
+        top, q = tree.top[ids], m.vectors(before)
+        score = np.einsum("ij,ij->i", q, m.target[top]) + m.bias[top] - self._normalise(code)[which]
+        at = np.flatnonzero(tree.group[ids] >= 0)
+        at = at[np.argsort(tree.group[ids[at]], kind="stable")]
+        found, begin = np.unique(tree.group[ids[at]], return_index=True)
+        for g, i, j in zip(found, begin, [*begin[1:], len(at)]):
+            members = tree.tail[g * GROUP : (g + 1) * GROUP]
+            vectors, bias = m.target[members].T, m.bias[members]
+            for k in range(i, j, ROWS):
+                some = at[k : min(j, k + ROWS)]
+                own = ids[some]
+                score[some] += np.einsum("ij,ij->i", q[some], m.target[own]) + m.bias[own] - _log_sums(q[some], vectors, bias)
+        return score
+
+
+def _log_sums(q: np.ndarray, vectors: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """The logarithm of the sum of exponentials of each row's scores."""
+    scores = q @ vectors
+    scores += bias
+    with np.errstate(over="ignore", divide="ignore"):
+        out = np.log(np.exp(scores).sum(axis=1))
+    far = np.flatnonzero(~np.isfinite(out))
+    if len(far):  # beyond what 32 bits hold
+        high = scores[far].max(axis=1)
+        out[far] = np.log(np.exp(scores[far] - high[:, None]).sum(axis=1)) + high
+    return out
 
 
 def score(docs: DataFrame, words: Words, model: Model) -> DataFrame:
     """A row for each document: doc_id, n_words, log_prob (natural, of all words), mean_log_prob."""
-    held = docs.sparkSession.sparkContext.broadcast((words.hashes, words.log_freq, model.flat))
+    held = docs.sparkSession.sparkContext.broadcast((words.local(), model.flat))
     d = pick(docs, "doc_id", "text")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, log_freq, flat = held.value
-        known = Words(hashes, log_freq)
+        known, flat = held.value
         scorer = Scorer(known, Model(flat, known.size))
+        first, log_rest, row = len(known.hashes), np.log(known.rest), TaskContext.get().partitionId() << 40
         for b in batches:
             for i, j, found, bounds in words_of(b.column("text")):
-                n = np.diff(bounds)
                 ids = known.ids(found)
-                each_word = scorer.log_probs(ids, contexts(ids, bounds, known.size)) if len(ids) else np.empty(0)
-                sums = np.concatenate([[0], np.cumsum(each_word, dtype=np.float64)])[bounds]
-                total = np.diff(sums)
-                mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id")[i:j], pa.array(n.astype(np.int32)), pa.array(total), mean], names=["doc_id", "n_words", "log_prob", "mean_log_prob"])
-
-    return d.mapInArrow(each, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_words int, log_prob double, mean_log_prob double")
+                each_word = scorer.log_probs(ids, contexts(ids, bounds, known.size)).astype(np.float64) if len(ids) else np.empty(0)
+                shared = np.flatnonzero(ids >= first)
+                each_word[shared] -= log_rest[ids[shared] - first]
+                total = np.diff(np.concatenate([[0], np.cumsum(each_word)])[bounds])
+                rest = pa.ListArray.from_arrays(pa.array(np.searchsorted(shared, bounds), pa.int32()), pa.array(found[shared].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + j - i)), b.column("doc_id")[i:j], pa.array(np.diff(bounds).astype(np.int32)), pa.array(total), rest], names=["row", "doc_id", "n_words", "log_prob", "rest"])
+                row += j - i
+
+    scored, _ = stash(d.mapInArrow(each, f"row long, doc_id {d.schema['doc_id'].dataType.simpleString()}, n_words int, log_prob double, rest array<long>"), "scored")
+    # log P(word | class) is log n less the class's log total, which is in log_prob already.
+    shared = scored.select("row", F.explode("rest").alias("word")).join(words.rare, "word", "left")
+    more = shared.groupBy("row").agg(F.sum(F.log(F.coalesce("n", F.lit(1)).cast("double"))).alias("more"))
+    log_prob = F.col("log_prob") + F.coalesce("more", F.lit(0.0))
+    mean = F.when(F.col("n_words") > 0, log_prob / F.col("n_words"))
+    return scored.drop("rest").join(more, "row", "left").select("doc_id", "n_words", log_prob.alias("log_prob"), mean.alias("mean_log_prob"))
 
 
 def query(docs: DataFrame) -> DataFrame:

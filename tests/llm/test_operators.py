@@ -400,6 +400,49 @@ def test_lm_odd_inputs(docs):
     assert lblm.query(docs([])).count() == 0
 
 
+def test_lm_vocabulary_follows_the_corpus(docs):
+    every = [f"w{i}" for i in range(2600)]
+    words = lblm.vocabulary(docs([(i, " ".join(every)) for i in range(5)] + [(9, "once only")]))
+    assert len(words.hashes) == 2600 and lblm.groups(words.size) > 1  # not a fixed number
+    n, model = words.size, lblm.Model.start(words)
+    scorer = lblm.Scorer(words, model)
+    p = np.exp(scorer.log_probs(np.arange(n), np.repeat(np.array([7, n])[:, None], n, axis=1)).astype(float))
+    assert abs(p.sum() - 1) < 1e-3
+    model.context[:] = 0  # frequencies alone
+    p = scorer.log_probs(np.arange(n), np.full((2, n), n))
+    assert np.allclose(p, words.log_freq, atol=1e-3)
+
+
+def test_lm_trains_within_groups(docs, monkeypatch):
+    monkeypatch.setattr(lblm, "HEAD", 4)
+    monkeypatch.setattr(lblm, "GROUP", 5)
+    rng = random.Random(4)
+    words = lblm.vocabulary(docs([(0, " ".join(f"w{i}" for i in range(17)))]))
+    trainer, at, text = lblm.Trainer(words, 1), 0, []
+    for _ in range(60_000):
+        at = (at * 3 + rng.choice((1, 2))) % 17
+        text.append(f"w{at}")
+    ((_, _, hashes, bounds),) = words_of(pa.array([" ".join(text)]))
+    ids = words.ids(hashes)
+    before = lblm.contexts(ids, bounds, words.size)
+    for i in range(0, 50_000, 500):
+        trainer.learn(ids[i : i + 500], before[:, i : i + 500])
+    mean = lambda m: lblm.Scorer(words, m).log_probs(ids[50_000:], before[:, 50_000:]).mean()
+    assert mean(trainer.model) > mean(lblm.Model.start(words)) + 0.5
+
+
+def test_lm_words_that_share_a_class(docs):
+    """P(word) sums to one over all words of the corpus and one unseen word a class."""
+    d = docs([(0, "b " * 50 + "a " * 40 + " ".join(f"r{i} " * (i % 3 + 1) for i in range(200)))])
+    words = lblm.vocabulary(d, size=2)
+    model = lblm.Model.start(words)
+    every = ["a", "b", *(f"r{i}" for i in range(200))]
+    p = {r["doc_id"]: np.exp(r["log_prob"]) for r in lblm.score(docs(list(enumerate(every)) + [(999, "unseen")]), words, model).collect()}
+    assert p[999] < 0.05
+    unseen = sum(np.exp(lblm.Scorer(words, model).log_probs(np.arange(2, 50), np.full((2, 48), words.size)).astype(float)) / words.rest)
+    assert abs(sum(p[i] for i in range(202)) + unseen - 1) < 1e-4
+
+
 # 9 WARC
 
 
