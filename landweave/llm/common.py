@@ -26,13 +26,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary folder is
-    made and recorded in the session.
+    Only where the session names none and all is on one machine (tests), a temporary folder is
+    made and recorded in the session; on a cluster its executors couldn't reach it: RuntimeError.
     """
     named = spark.conf.get(_CONF, None)
     if not named:
         made = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = made.get() if made.isDefined() else "file://" + tempfile.mkdtemp(prefix="landweave-")
+        if made.isDefined():
+            named = made.get()
+        elif re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            named = "file://" + tempfile.mkdtemp(prefix="landweave-")
+        else:
+            raise RuntimeError(f"{_CONF} must name a folder that all executors share")
         spark.conf.set(_CONF, named)
     return named.rstrip("/")
 
