@@ -10,17 +10,20 @@ permutation vary against each other. 40 bands of 4 values propose candidates.
 2. Within a bucket (equal band) every node is compared with the bucket's smallest.
 3. The components so found are joined with the buckets again: only a bucket that
    still holds two or more components needs all its pairs between components
-   compared. So every pair of every bucket is either compared or already together,
-   at no more than a star's cost where a bucket is one group of copies.
+   compared, by pairs of blocks of BLOCK nodes, each pair a group of its own. So every pair of
+   every bucket is either compared or already together, at no more than a star's cost
+   where a bucket is one group of copies.
 4. Connected components of all pairs found similar (alternating large and small
    stars, each round written to the shared folder) are the groups.
 
-Nodes are named by the 64-bit hash of their signature.
+Nodes are named by the 64-bit hash of their signature. Only keys, signatures and bands
+shuffle, never texts; what a group or a bucket is summed up by are combining aggregates, so
+that no group, however large, is one task's.
 
 Defined cases: texts without a word (null, empty, blank) are in no group; texts of one
 or two words count as one shingle; repeated rows are copies of one another; the
 first of a group is the one with the smallest doc_id, null last, then by the hash of its
-text; an empty table gives an empty result; extra columns don't matter.
+text, then by its place in the table; an empty table gives an empty result; extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -30,10 +33,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import anonymous, pick, place, remove, stash
+from .beside import facts, located, told
+from .common import place, remove, stash
 from .wordhash import mix, words_of
 
 SHINGLE = 3
@@ -42,6 +46,9 @@ BAND = 4
 THRESHOLD = 0.5
 #: Candidates count as similar from THRESHOLD - MARGIN of equal values on; the standard error at 0.5 is 0.04.
 MARGIN = 0.05
+#: Nodes of a bucket that are compared with one another in one task.
+BLOCK = 1000
+ROW = ["_key", "_at"]
 
 _rng = np.random.default_rng(7)
 _A = _rng.integers(1, 1 << 31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -93,15 +100,15 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j, words, bounds in words_of(b.column("text")):
             sig = signatures(*shingles(words, bounds))
             has = np.flatnonzero(np.diff(bounds) > 0) + i
-            part = b.select(["doc_id", "body"]).take(pa.array(has))
+            part = b.select(["doc_id", "body", *ROW]).take(pa.array(has))
             raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * PERMUTATIONS), len(sig), [None, pa.py_buffer(np.ascontiguousarray(sig))])
-            yield pa.RecordBatch.from_arrays([*part.columns, raw.cast(pa.binary())], names=["doc_id", "body", "sig"])
+            yield pa.RecordBatch.from_arrays([*part.columns, raw.cast(pa.binary())], names=["doc_id", "body", *ROW, "sig"])
 
 
-def signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, body, sig, sid): body is the hash of the text, sid that of the signature."""
-    d = pick(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("body"), "text")
-    return d.mapInArrow(_sign, d.select("doc_id", "body", F.lit(b"").alias("sig")).schema).withColumn("sid", F.xxhash64("sig"))
+def signed(docs: DataFrame, doc: str, text: str) -> DataFrame:
+    """(doc_id, body, _key, _at, sig, sid): body is the hash of the text, sid that of the signature."""
+    d = docs.select(F.col(doc).alias("doc_id"), F.xxhash64(text).alias("body"), *ROW, F.col(text).alias("text"))
+    return d.mapInArrow(_sign, d.select("doc_id", "body", *ROW, F.lit(b"").alias("sig")).schema).withColumn("sid", F.xxhash64("sig"))
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -114,17 +121,19 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _across(least: float):
-    def compare(bucket: pd.DataFrame) -> pd.DataFrame:
-        """The similar pairs between components of one bucket; what they join is one from then on."""
-        sig, sid, label = _matrix(bucket["sig"]), bucket["sid"].to_numpy(), bucket["label"].to_numpy().copy()
+    def compare(pair: pd.DataFrame) -> pd.DataFrame:
+        """The similar pairs between two blocks of a bucket (or within one) that are of different components."""
+        sig, sid, label, block = _matrix(pair["sig"]), pair["sid"].to_numpy(), pair["label"].to_numpy(), pair["block"].to_numpy()
+        one = pair["i"].iloc[0] == pair["j"].iloc[0]
+        left, right = (np.arange(len(sid)),) * 2 if one else (np.flatnonzero(block == pair["i"]), np.flatnonzero(block == pair["j"]))
         a, b = [], []
-        for i in range(len(sid)):
-            other = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        for k, i in enumerate(left.tolist()):
+            other = right[k + 1 :] if one else right
+            other = other[label[other] != label[i]]
             if len(other):
                 near = other[(sig[other] == sig[i]).mean(axis=1) >= least]
                 a.extend([sid[i]] * len(near))
                 b.extend(sid[near])
-                label[np.isin(label, label[near])] = label[i]
         return pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
 
     return compare
@@ -136,12 +145,12 @@ def components(edges: DataFrame) -> DataFrame:
     now, path = stash(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
     while True:
+        # Combining aggregates and joins: a node of any number of neighbours isn't one task's.
         both = now.union(now.select("b", "a"))
-        low = F.min("b").over(Window.partitionBy("a"))
-        large = both.withColumn("m", F.least(low, "a")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = both.groupBy("a").agg(F.min("b").alias("m"))
+        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
         large = large.filter("a <> b").distinct()
-        low = F.min("b").over(Window.partitionBy("a"))
-        small = large.withColumn("m", low)
+        small = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
         small = small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
         then, new = stash(small.filter("a <> b").distinct(), "edges")
         said = then.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -152,59 +161,73 @@ def components(edges: DataFrame) -> DataFrame:
         before = said
 
 
-def groups(docs: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN) -> DataFrame:
-    """(doc_id, body, group_id, keep) of every document that has a near copy; group_id is
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        if b.num_rows:
+            # Four values of 16 bits are one of 64; the band's number goes in by addition.
+            sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), dtype="<u8").reshape(b.num_rows, -1)
+            keyed = mix(sig + np.arange(1, sig.shape[1] + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            sid = np.repeat(b.column("sid").to_numpy(), sig.shape[1])
+            for i in range(0, len(sid), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(keyed.reshape(-1)[i : i + 100_000].view(np.int64)), pa.array(sid[i : i + 100_000])], names=["bucket", "sid"])
+
+
+def _mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, sid, label, n) of the buckets that hold n nodes of two components or more; of those that
+    bands proposed with the same nodes, one."""
+    labelled = buckets.join(labels, buckets["sid"] == labels["node"], "left").select("bucket", "sid", F.coalesce("label", "sid").alias("label"))
+    labelled, _ = stash(labelled, "labelled")
+    of = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.sum(F.xxhash64("sid").cast("decimal(38,0)")).alias("s"), F.count("*").alias("n"))
+    sets = of.filter("low <> high").groupBy("s", "n").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
+    return labelled.join(sets, "bucket")
+
+
+def _pairs_of_blocks(mixed: DataFrame, block: int) -> DataFrame:
+    """Every row once for each block of its bucket, so that each pair of blocks is a group (bucket, i, j)."""
+    blocks = F.ceil(F.col("n") / block)
+    d = mixed.withColumn("block", F.pmod(F.xxhash64("sid"), blocks)).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    return d.select("bucket", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "sid", "label")
+
+
+def groups(docs: DataFrame, doc: str, text: str, threshold: float = THRESHOLD, margin: float = MARGIN, block: int = BLOCK) -> DataFrame:
+    """(doc_id, _key, _at, group_id, keep) of every one of the located ``docs`` that has a near copy; group_id is
     the doc_id of the group's first document, the only one with keep."""
-    spark = docs.sparkSession
     least = threshold - margin
-    all_docs, _ = stash(signed(docs), "signatures")
-    nodes, nodes_path = stash(all_docs.groupBy("sid").agg(F.first("sig").alias("sig")), "nodes")
-
-    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                # Four values of 16 bits are one of 64; the band's number goes in by addition.
-                sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), dtype="<u8").reshape(b.num_rows, -1)
-                keyed = mix(sig + np.arange(1, sig.shape[1] + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                sid = np.repeat(b.column("sid").to_numpy(), sig.shape[1])
-                for i in range(0, len(sid), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(keyed.reshape(-1)[i : i + 100_000].view(np.int64)), pa.array(sid[i : i + 100_000])], names=["bucket", "sid"])
-
-    rows = nodes.select("sid", "sig").mapInArrow(bands, "bucket long, sid long")
-    within = Window.partitionBy("bucket")
-    buckets, _ = stash(rows.withColumn("low", F.min("sid").over(within)).withColumn("high", F.max("sid").over(within)).filter("low <> high").drop("high"), "buckets")
+    all_docs, _ = stash(signed(docs, doc, text), "signatures")
+    nodes, _ = stash(all_docs.groupBy("sid").agg(F.first("sig").alias("sig")), "nodes")
+    rows = nodes.select("sid", "sig").mapInArrow(_bands, "bucket long, sid long")
+    shared = rows.groupBy("bucket").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).filter("low <> high").drop("high")
+    buckets, _ = stash(rows.join(shared, "bucket"), "buckets")
     like = F.pandas_udf(similarity, "double").asNondeterministic()
     stars = buckets.filter("sid <> low").select(F.col("low").alias("a"), F.col("sid").alias("b")).distinct()
     sig = lambda n: nodes.select(F.col("sid").alias(n), F.col("sig").alias(f"sig_{n}"))
     near = stars.join(sig("a"), "a").join(sig("b"), "b").withColumn("like", like("sig_a", "sig_b")).filter(F.col("like") >= least).select("a", "b")
     labels, _ = stash(components(near), "labels")
-    labelled = buckets.select("bucket", "sid").join(labels, buckets["sid"] == labels["node"], "left").select("bucket", "sid", F.coalesce("label", "sid").alias("label"))
-    mixed = labelled.withColumn("low", F.min("label").over(within)).withColumn("high", F.max("label").over(within)).filter("low <> high").select("bucket", "sid", "label")
-    # Bands that proposed the same set of nodes are one.
-    mixed, _ = stash(mixed, "mixed")
-    sets = mixed.groupBy("bucket").agg(F.sum(F.xxhash64("sid").cast("decimal(38,0)")).alias("s"), F.count("*").alias("n")).groupBy("s", "n").agg(F.min("bucket").alias("bucket"))
-    more = mixed.join(sets.select("bucket"), "bucket", "left_semi").join(nodes, "sid").groupBy("bucket").applyInPandas(_across(least), "a long, b long").distinct()
+    pairs = _pairs_of_blocks(_mixed(buckets.select("bucket", "sid"), labels), block).join(nodes, "sid")
+    more = pairs.groupBy("bucket", "i", "j").applyInPandas(_across(least), "a long, b long").distinct()
     final, _ = stash(components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more)), "components")
-    d = all_docs.select("doc_id", "body", "sid").join(final, all_docs["sid"] == final["node"], "left").select("doc_id", "body", F.coalesce("label", "sid").alias("grp"))
-    of, rank = Window.partitionBy("grp"), Window.partitionBy("grp").orderBy(F.col("doc_id").isNull(), "doc_id", "body")
-    d = d.withColumn("rank", F.row_number().over(rank)).withColumn("group_id", F.first("doc_id").over(rank)).withColumn("n", F.count("*").over(of))
-    return d.filter("n > 1").select("doc_id", "body", "group_id", (F.col("rank") == 1).alias("keep"))
+    d = all_docs.drop("sig").join(final, all_docs["sid"] == final["node"], "left").select("doc_id", "body", *ROW, F.coalesce("label", "sid").alias("grp"))
+    # Each group's first and size by a combining aggregate: a group of any size isn't one task's.
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("body"), *ROW))
+    of = d.groupBy("grp").agg(first.alias("f"), F.count("*").alias("n")).filter("n > 1").select("grp", "f")
+    return d.join(of, "grp").select("doc_id", *ROW, F.col("f.doc_id").alias("group_id"), ((F.col("_key") == F.col("f._key")) & (F.col("_at") == F.col("f._at"))).alias("keep"))
+
+
+def _stays(has: np.ndarray, table: pa.Table | None, n: int) -> pd.Series:
+    out = np.ones(n, dtype=bool)
+    out[has] = False
+    return pd.Series(out)
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN) -> DataFrame:
-    """``docs`` with all columns, of each group only its first document."""
-    found, _ = stash(groups(docs, threshold, margin), "groups")
-    doc, text = place(docs, "doc_id"), place(docs, "text")
-    zero = F.lit(0).cast(docs.schema[docs.columns.index("doc_id")].dataType)
-    key = lambda body, doc: [F.col(body).alias("_body"), F.coalesce(doc, zero).alias("_key"), F.col(doc).isNull().alias("_none")]
-    of = ["_body", "_key", "_none"]
-    judged = found.select(*key("body", "doc_id"), "keep").groupBy(*of).agg(F.max("keep").alias("_keep"))
-    d = anonymous(docs).withColumn("_hash", F.xxhash64(text))
-    d = d.select("*", *key("_hash", doc)).withColumn("_again", F.lag(F.lit(1)).over(Window.partitionBy(*of).orderBy("_body")))
-    d = d.join(judged, of, "left").filter("_keep is null or (_keep and _again is null)")
-    return d.select(*[f"_in{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)
+    """``docs`` with all columns, of each group only its first document. What goes is told to the rows
+    where they are read; texts don't shuffle."""
+    d = located(docs)
+    gone = facts(groups(d, place(docs, "doc_id"), place(docs, "text"), threshold, margin).filter("not keep").select(*ROW), "copies")
+    out = d.filter(told(gone, "boolean", _stays))
+    return out.select(*[f"_in{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)
 
 
 def query(docs: DataFrame) -> DataFrame:
     """Every document that has a near copy: doc_id, group_id, keep."""
-    return groups(docs).drop("body")
+    return groups(located(docs), place(docs, "doc_id"), place(docs, "text")).drop(*ROW)

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from landweave.llm import bloom, bpe, common, crc32c, lblm, lines, minhash, packing, quality, records, secrets, sentencepieces, warc, winnow
+from landweave.llm import beside, bloom, bpe, common, crc32c, lblm, lines, minhash, packing, quality, records, secrets, sentencepieces, warc, winnow
 from landweave.llm.wordhash import words_of
 
 ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "word"), (5, "two words"), (None, "no id here at all"), (7, "repeated row"), (7, "repeated row"), (8, "é ü 日本語 🙂 \u00a0 x")]
@@ -124,6 +124,22 @@ def test_near_duplicates_odd_inputs(docs, prose):
     assert minhash.query(docs([(None, "a b c d"), (None, "a b c d"), (3, "a b c d")])).where("keep").collect()[0]["doc_id"] == 3
 
 
+def test_near_duplicates_of_one_large_group(docs, spark, prose):
+    """100,000 equal rows, and near copies that share buckets with strangers."""
+    d = spark.range(100_000).select(F.col("id").alias("doc_id"), F.lit(prose(40, 1)).alias("text"))
+    assert minhash.query(d).groupBy("group_id", "keep").count().orderBy("keep").collect() == [(0, False, 99_999), (0, True, 1)]
+    assert minhash.keep_one(d).count() == 1
+
+
+def test_near_duplicates_in_blocks(docs, prose):
+    """Buckets cut into blocks of three nodes give the same groups."""
+    head = prose(60, 9).replace("\n", " ")
+    texts = [(i, f"{head} {prose(8 + i % 3 * 30, i)}") for i in range(60)]
+    d = beside.located(docs(texts))
+    of = lambda block: {r["doc_id"]: r["group_id"] for r in minhash.groups(d, "_in0", "_in1", block=block).collect()}
+    assert of(3) == of(1000) and len(of(3)) > 20
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 340)]
