@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import base64
+import sys
+from array import array
 from collections.abc import Iterable
 
 import numpy as np
@@ -24,10 +26,16 @@ class Encoder:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self._bpe = tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.dtype = np.dtype("<u2" if max(ranks.values()) < 1 << 16 else "<u4")
+        #: The first id that the vocabulary leaves free.
+        self.end = max(ranks.values()) + 1
+        self.dtype = np.dtype("<u2" if self.end < 1 << 16 else "<u4")
+        self._kind = "H" if self.dtype.itemsize == 2 else "I"
 
     def encode(self, text: str) -> bytes:
-        return self._bpe.encode_to_numpy(text, disallowed_special=()).astype(self.dtype).tobytes()
+        ids = array(self._kind, self._bpe.encode_ordinary(text))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def decode(self, ids: Iterable[int]) -> str:
         return self._bpe.decode(list(ids))
