@@ -10,12 +10,12 @@ import numpy as np
 import pandas as pd
 
 import corpus_pipeline
-from landweave.llm import packing, quality, registry, secrets
+from landweave.llm import common, packing, quality, registry, secrets
 from landweave.llm.common import table
-from tests.llm.test_operators import edited, jaccard, junk
+from tests.llm.test_operators import ODD, edited, jaccard, junk
 
 
-def brute(rows):
+def brute(rows, docs):
     """Quality, lines, near copies (to any earlier document) and secrets, row by row."""
     masks = quality.vote_masks(pd.Series([t for _, t in rows]))
     kinds, counts = np.unique(masks, return_counts=True)
@@ -41,7 +41,7 @@ def brute(rows):
         group[i] = next((group[j] for j, u in out[:k] if t.strip() and u.strip() and jaccard(t, u) >= 0.5), i)
         if group[i] == i:
             alone.append((i, t))
-    scanner, clean = secrets.Scanner(), []
+    scanner, clean = secrets.Scanner(secrets.dictionary(docs(alone))), []
     for i, t in alone:
         for a, b, *_ in reversed(scanner.find(t)):
             t = t[:a] + secrets.MASK + t[b:]
@@ -59,14 +59,34 @@ def test_stages_against_brute_force(spark, docs, prose, tmp_path):
     rows += [(400 + i, prose(60, 400 + i) + '\ntoken = "' + "".join(rng.choice("0123456789abcdef") for _ in range(40)) + '"') for i in range(3)]
     d = docs(rows)
     d.write.parquet(str(tmp_path / "documents.parquet"))
-    wanted = brute(rows)
+    wanted = brute(rows, docs)
     at = table(spark, str(tmp_path), "documents")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         at = stage(spark, at, str(tmp_path))
         assert at.columns == d.columns, name
     assert sorted((r["doc_id"], r["text"]) for r in at.collect()) == sorted(wanted)
     packed = corpus_pipeline.run(spark, str(tmp_path))
-    assert {(r["doc_id"], r["length"]) for r in packed.collect()} == {(i, len(t.encode()) + 1) for i, t in wanted if len(t.encode()) < packing.CAPACITY}
+    assert sorted((r["doc_id"], r["text"]) for r in packing.unpacked(packed).collect()) == sorted(wanted)
+
+
+def test_odd_inputs_through_all_stages(spark, docs, prose, tmp_path):
+    """Nulls, empty and very long texts, ties and repeated rows, an empty table, clashing columns."""
+    long = "\n".join(prose(300, 1000 + i) for i in range(400))
+    rows = [*ODD, (20, long), (21, prose(90, 1)), (21, prose(90, 1)), (None, prose(90, 2)), (23, prose(90, 3))]
+    d = docs(rows)
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    back = {(r["doc_id"], r["text"]) for r in packing.unpacked(corpus_pipeline.run(spark, str(tmp_path))).collect()}
+    # Texts without a word are kept, null as empty; of the repeated rows one is; nothing else goes.
+    assert back == {(i, t or "") for i, t in rows}
+    at = docs(rows, extra=True)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, at, str(tmp_path))
+        assert out.columns == at.columns, name
+        at = common.stash(common.anonymous(out), "odd")[0].toDF(*out.columns)
+    assert at.count() == len(back)
+    (tmp_path / "none").mkdir()
+    docs([]).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_registry():
