@@ -7,11 +7,13 @@ decoder. Batches are encoded by the library's threads, as many as the task has c
 
 Where no piece has the metaspace mark after something else (checked, with byte fallback
 and without a character map), nothing can be merged across the start of a word, so a text's
-ids are those of its words in order. A task then encodes and decodes each distinct word
+ids are those of its words in order. A task then encodes each distinct word
 once, in batches; other models encode whole texts.
 
-Parity with the sentencepiece library is verified on every document by
-:func:`verified` and in the tests.
+Parity with the sentencepiece library is verified on every document: each distinct word that
+a task encodes is encoded by that library as well (whole texts where words aren't cut), and
+``parity`` says whether all of a document's are the same. The ids of every whole document
+are decoded, by the bytes of their pieces, and ``round_trip`` says whether that is the text.
 
 Defined cases: a null text has null ids and text; an empty text has no ids; repeated rows
 are encoded each; an empty table gives an empty result; extra columns don't matter.
@@ -135,7 +137,7 @@ def _words(text: str) -> list[str]:
 class Codec:
     """Encodes and decodes with the tokenizers library."""
 
-    def __init__(self, path: str = MODEL):
+    def __init__(self, path: str = MODEL, verify: bool = False):
         from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
         with open(path, "rb") as f:
@@ -168,44 +170,66 @@ class Codec:
         if self.by_word:
             self._words = Tokenizer(model)
             self._words.pre_tokenizer = t.pre_tokenizer
-            self._words.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
         self._marked = np.array([p.startswith(MARK) for p, _, _ in m.pieces])
         self._kept: dict[str, bytes] = {}
-        self._inexact: set[str] = set()
+        self._apart: set[str] = set()
+        held = [bytes([self.bytes_of[i]]) if i in self.bytes_of else b"" if i in self._silent else p.replace(MARK, " ").encode() for i, (p, _, _) in enumerate(m.pieces)]
+        self._piece_size = np.array([len(x) for x in held])
+        self._piece_start = np.cumsum(self._piece_size) - self._piece_size
+        self._piece_bytes = np.frombuffer(b"".join(held), dtype=np.uint8)
+        self._other = None
+        if verify:
+            import sentencepiece
+
+            self._other = sentencepiece.SentencePieceProcessor(model_file=path)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Whole texts, by the library alone."""
         return [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode_raw(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
-        """The ids of each text as 4-byte integers, and whether decoding them gives the text back."""
+        """The ids of each text as 4-byte integers, and whether they are the sentencepiece library's (True if it isn't asked)."""
         if not self.by_word:
             ids = self.encode(texts)
-            return [np.array(x, dtype=np.int32).tobytes() for x in ids], [x == y for x, y in zip(texts, self.decode(ids))]
+            same = [x == y for x, y in zip(ids, self._other.encode(texts, num_threads=1))] if self._other else [True] * len(ids)
+            return [np.array(x, dtype=np.int32).tobytes() for x in ids], same
         words = [_words(t) for t in texts]
         if len(self._kept) > WORDS_KEPT:
             self._kept.clear()
-            self._inexact.clear()
+            self._apart.clear()
         kept = self._kept
         self._learn(list({w for some in words for w in some}.difference(kept)))
-        raw = [b"".join([kept[w] for w in some]) for some in words]
-        return raw, [MARK not in t and self._inexact.isdisjoint(some) for t, some in zip(texts, words)] if self._inexact else [MARK not in t for t in texts]
+        return [b"".join([kept[w] for w in some]) for some in words], [self._apart.isdisjoint(some) for some in words] if self._apart else [True] * len(words)
 
     def _learn(self, new: list[str], at_once: int = 500) -> None:
         """Encodes distinct words, many to a text that the library cuts where they begin."""
         alone, new = [w for w in new if MARK in w], [w for w in new if MARK not in w]
         groups = [new[i : i + at_once] for i in range(0, len(new), at_once)] + [[w] for w in alone]
-        texts = [MARK + MARK.join(g) for g in groups]
-        found = self._words.encode_batch_fast(texts, add_special_tokens=False)
-        for words, text, e, back in zip(groups, texts, found, self._words.decode_batch([e.ids for e in found], skip_special_tokens=False)):
+        found = self._words.encode_batch_fast([MARK + MARK.join(g) for g in groups], add_special_tokens=False)
+        theirs = self._other.encode([" ".join(g) for g in groups], num_threads=1) if self._other and groups else [None] * len(groups)
+        for words, e, other in zip(groups, found, theirs):
             ids = np.array(e.ids, dtype=np.int32)
             # Of a word without further marks only the first piece begins with one.
             begins = [*np.flatnonzero(self._marked[ids]).tolist(), len(ids)] if len(words) > 1 else [0, len(ids)]
             for w, begin, end in zip(words, begins, begins[1:]):
                 self._kept[w] = ids[begin:end].tobytes()
-            if back != text.replace(MARK, " "):
-                alone = self._words.decode_batch([np.frombuffer(self._kept[w], np.int32).tolist() for w in words], skip_special_tokens=False)
-                self._inexact.update(w for w, x in zip(words, alone) if x != " " + w.replace(MARK, " "))
+            if self._other and other != e.ids and words != [""]:  # an empty word, alone, is a mark to the one and nothing to the other
+                self._apart.update(w for w, x in zip(words, self._other.encode(words, num_threads=1)) if w and np.array(x, dtype=np.int32).tobytes() != self._kept[w])
+
+    def gives_back(self, texts: list[str], raw: list[bytes]) -> list[bool]:
+        """Whether the ids of each whole text, decoded, are the text."""
+        if not self.by_word:
+            return [x == y for x, y in zip(texts, self.decode([np.frombuffer(r, np.int32).tolist() for r in raw]))]
+        ids = np.frombuffer(b"".join(raw), dtype=np.int32)
+        size = self._piece_size[ids]
+        ends, parts = np.concatenate([[0], np.cumsum(size)]), []
+        for i in range(0, len(ids), BATCH_CHARS):
+            some, n = ids[i : i + BATCH_CHARS], size[i : i + BATCH_CHARS]
+            parts.append(self._piece_bytes[np.arange(n.sum()) + np.repeat(self._piece_start[some] - np.cumsum(n) + n, n)].tobytes())
+        out = b"".join(parts)
+        at = ends[np.concatenate([[0], np.cumsum([len(r) // 4 for r in raw])])].tolist()
+        # The mark that every text begins with is no part of it.
+        return [out[begin + 1 : end] == t.encode("utf-8", "surrogatepass") and out[begin : begin + 1] in (b" ", b"") for t, begin, end in zip(texts, at, at[1:])]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self._tokenizer.decode_batch([[i for i in one if i not in self._silent] for one in ids], skip_special_tokens=False)
@@ -222,32 +246,27 @@ def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
         begin = end
 
 
-def encode(docs: DataFrame, model: str = MODEL, threads: int = 2, verify: bool = False) -> DataFrame:
-    """doc_id, ids, and whether decoding gives the text back (round_trip); with ``verify`` also
-    whether the sentencepiece library gives the same ids (parity)."""
+def encode(docs: DataFrame, model: str = MODEL, threads: int = 2, verify: bool = True) -> DataFrame:
+    """doc_id, ids, whether decoding gives the text back (round_trip), and with ``verify`` whether the
+    sentencepiece library gives the same ids (parity)."""
     d = pick(docs, "doc_id", "text")
     schema = f"doc_id {d.schema['doc_id'].dataType.simpleString()}, ids array<int>, round_trip boolean" + ", parity boolean" * verify
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"], os.environ["RAYON_NUM_THREADS"] = "true", str(threads)
-        codec = Codec(model)
-        if verify:
-            import sentencepiece
-
-            other = sentencepiece.SentencePieceProcessor(model_file=model)
+        codec = Codec(model, verify)
         for b in batches:
             for i, j in _slices(b.column("text")):
                 texts = b.column("text")[i:j].to_pylist()
                 some = [t or "" for t in texts]
-                raw, exact = codec.encode_raw(some)
+                raw, same = codec.encode_raw(some)
                 null = np.array([t is None for t in texts])
                 offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in raw])]).astype(np.int32)
                 flat = np.frombuffer(b"".join(raw), dtype=np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=pa.array(null))
-                columns = [b.column("doc_id")[i:j], lists, pa.array(exact, mask=null)]
-                if verify:
-                    columns.append(pa.array([np.frombuffer(x, np.int32).tolist() == y for x, y in zip(raw, other.encode(some, num_threads=1))], mask=null))
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "round_trip", "parity"][: len(columns)])
+                columns = [b.column("doc_id")[i:j], lists, *(pa.array(x, mask=null) for x in (codec.gives_back(some, raw), same))]
+                n = 3 + verify
+                yield pa.RecordBatch.from_arrays(columns[:n], names=["doc_id", "ids", "round_trip", "parity"][:n])
 
     return d.mapInArrow(each, schema)
 
