@@ -9,7 +9,8 @@ Every task writes files of its own, named by its attempt, in the shared folder,
 returns an index row for each record; the index is a Parquet table beside the files.
 As only an attempt that Spark commits gets its rows into the index, a lost or repeated task
 leaves at most a file that nothing refers to, and such files are removed at the end.
-With the index a reader can fetch records in any order (:func:`read`).
+With the index a reader can fetch records in any order (:func:`read`); it names files by whole
+paths, and the records stay until someone deletes their folder.
 
 Defined cases: a null text is an empty sequence; repeated rows give a record each;
 doc_id is an integer or null; an empty table gives an empty index; extra columns don't
@@ -19,6 +20,7 @@ matter. Whole texts are encoded.
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import VOCABULARY, Encoder
-from .common import pick, qualified, remove, scratch
+from .common import pick, qualified, remove, shared_dir
 from .crc32c import crc32c, masked
 
 _HEAD = struct.Struct("<qBBHI")
@@ -68,7 +70,7 @@ def unframe(raw: bytes) -> tuple[int | None, np.ndarray]:
 
 def _writer(folder: str, vocabulary: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, at, name = None, 0, f"tokens-{TaskContext.get().partitionId():06d}-{TaskContext.get().taskAttemptId()}.bin"
+        out, at, name = None, 0, f"{folder}/tokens-{TaskContext.get().partitionId():06d}-{TaskContext.get().taskAttemptId()}.bin"
         encoder = None
 
         def flush(docs: list, payloads: list[bytes]) -> pa.RecordBatch:
@@ -84,8 +86,8 @@ def _writer(folder: str, vocabulary: str):
             docs, payloads, held = [], [], 0
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
                 if out is None:
-                    system, path = fs.FileSystem.from_uri(folder)
-                    out, encoder = system.open_output_stream(f"{path}/{name}"), Encoder(vocabulary)
+                    system, path = fs.FileSystem.from_uri(name)
+                    out, encoder = system.open_output_stream(path), Encoder(vocabulary)
                 docs.append(doc)
                 payloads.append(payload(doc, encoder.encode(text.as_py() or ""), encoder.dtype.itemsize))
                 held += len(payloads[-1])
@@ -101,10 +103,10 @@ def _writer(folder: str, vocabulary: str):
 
 
 def write(docs: DataFrame, folder: str | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Writes all records below ``folder`` (of the shared folder by default) and returns the
+    """Writes all records below ``folder`` (a new one of the shared folder by default) and returns the
     index: doc_id, file, offset, length, n_tokens."""
     spark = docs.sparkSession
-    folder = qualified(spark, folder or scratch(spark, "records"))
+    folder = qualified(spark, folder or f"{shared_dir(spark)}/records-{uuid.uuid4().hex[:12]}")
     at = spark._jvm.org.apache.hadoop.fs.Path(folder)
     system = at.getFileSystem(spark._jsc.hadoopConfiguration())
     system.mkdirs(at)
@@ -113,24 +115,23 @@ def write(docs: DataFrame, folder: str | None = None, vocabulary: str = VOCABULA
     index = spark.read.schema(INDEX).parquet(f"{folder}/index")
     kept = {r[0] for r in index.select("file").distinct().toLocalIterator()}
     for status in system.listStatus(at):
-        name = status.getPath().getName()
+        name = f"{folder}/{status.getPath().getName()}"
         if name.endswith(".bin") and name not in kept:
-            remove(spark, f"{folder}/{name}")
+            remove(spark, name)
     return index
 
 
-def read(index: DataFrame, folder: str) -> DataFrame:
+def read(index: DataFrame) -> DataFrame:
     """(doc_id, ids) of the records that ``index`` lists, in its order; checksums are verified."""
-    folder = qualified(index.sparkSession, folder)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, path = fs.FileSystem.from_uri(folder)
         opened: dict = {}
         for b in batches:
             docs, ids = [], []
             for name, offset, length in zip(*(b.column(c).to_pylist() for c in ("file", "offset", "length"))):
                 if name not in opened:
-                    opened[name] = system.open_input_file(f"{path}/{name}")
+                    system, path = fs.FileSystem.from_uri(name)
+                    opened[name] = system.open_input_file(path)
                 doc, found = unframe(opened[name].read_at(length, offset))
                 docs.append(doc)
                 ids.append(found.astype(np.int32))

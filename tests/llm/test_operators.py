@@ -6,6 +6,7 @@ import gzip
 import hashlib
 import io
 import itertools
+import pathlib
 import random
 import re
 
@@ -416,17 +417,18 @@ def test_records_round_trip(docs, prose, tmp_path):
     folder = str(tmp_path / "out")
     index = records.write(docs(texts, extra=True), folder)
     encoder = bpe.Encoder()
-    back = [(r["doc_id"], encoder.decode(r["ids"])) for r in records.read(index.orderBy(F.rand(1)), folder).collect()]
+    back = [(r["doc_id"], encoder.decode(r["ids"])) for r in records.read(index.orderBy(F.rand(1))).collect()]
     assert sorted(back, key=str) == sorted(((i, t or "") for i, t in texts), key=str)
-    files = {r["file"] for r in index.collect()}
+    files = {r["file"].removeprefix("file://") for r in index.collect()}
+    assert files == {str(f) for f in (tmp_path / "out").iterdir() if f.suffix == ".bin"}
     for f in files:  # the frames follow one another without a gap
-        raw, at = (tmp_path / "out" / f).read_bytes(), 0
+        raw, at = pathlib.Path(f).read_bytes(), 0
         while at < len(raw):
             n = int.from_bytes(raw[at : at + 8], "little")
             records.unframe(raw[at : at + n + 16])
             at += n + 16
     first = index.first()
-    raw = bytearray((tmp_path / "out" / first["file"]).read_bytes()[first["offset"] : first["offset"] + first["length"]])
+    raw = bytearray(pathlib.Path(first["file"].removeprefix("file://")).read_bytes()[first["offset"] : first["offset"] + first["length"]])
     raw[-6] ^= 1
     with pytest.raises(ValueError, match="damaged"):
         records.unframe(bytes(raw))
@@ -730,8 +732,13 @@ def test_warc_of_other_writers(spark, tmp_path, monkeypatch):
 
 def test_parity_with_sentencepiece(docs, prose):
     texts = [*ODD, *((100 + i, prose(100, i)) for i in range(5)), (50, "  lead  and\n\n\ttabs "), (51, "▁x ▁▁y"), (52, "<s>hi</s> <unk> <0x41>"), (53, "ﬁ ½ \x00 z"), (54, "if x:\n    return  1")]
-    out = sentencepieces.encode(docs(texts, extra=True), verify=True)
+    texts.append((55, " ".join(prose(200, i % 40) for i in range(800))))  # more than a slice
+    out = sentencepieces.encode(docs(texts, extra=True))
     rows = out.collect()
+    codec = sentencepieces.Codec()
+    for r in rows:  # the same by decoding with the library
+        if r["ids"] is not None:
+            assert r["round_trip"] == (codec.decode([r["ids"]])[0] == next(t for i, t in texts if i == r["doc_id"])), r["doc_id"]
     assert all(r["parity"] for r in rows if r["doc_id"] != 1) and len(rows) == len(texts)
     back = {(r["doc_id"], r["text"]) for r in sentencepieces.decode(out).collect()}
     assert {(i, t) for i, t in texts if i not in (51, None)} <= back | {(52, "<s>hi</s> <unk> <0x41>")}
@@ -739,6 +746,28 @@ def test_parity_with_sentencepiece(docs, prose):
     assert sentencepieces.encode(docs([])).count() == 0
 
 
+def test_parity_is_seen(monkeypatch):
+    """A word that the other library encodes otherwise marks the documents that have it, and no others."""
+    codec = sentencepieces.Codec(verify=True)
+    real = codec._other
+
+    class Odd:
+        def encode(self, texts, num_threads):
+            return [[1, 2, 3] if "strange" in t else real.encode(t) for t in texts]
+
+    codec._other = Odd()
+    texts = ["a strange word", "a plain word", "", "  two  spaces ", "strangely so"]
+    raw, same = codec.encode_raw(texts)
+    assert same == [False, True, True, True, False] and codec.gives_back(texts, raw) == [True] * 5
+
+
+def test_words_kept_start_anew(monkeypatch, prose):
+    monkeypatch.setattr(sentencepieces, "WORDS_KEPT", 5)
+    codec, texts = sentencepieces.Codec(verify=True), [prose(40, i) for i in range(6)]
+    for t in texts:
+        assert codec.encode_raw([t])[0][0] == np.array(codec.encode([t])[0], dtype=np.int32).tobytes()
+
+
 def _message(*fields):
     def varint(n):
         out = b""
@@ -773,6 +802,9 @@ def test_unigram_models(tmp_path):
     texts = ["", "abc", "  ab  de ", "é", "x", *("".join(rnd.choice("abcdef  é") for _ in range(30)) for _ in range(200))]
     assert codec.encode(texts) == [sp.encode(t) for t in texts]
     assert codec.decode([sp.encode(t) for t in texts]) == [sp.decode(sp.encode(t)) for t in texts]
+    whole = sentencepieces.Codec(str(path), verify=True)
+    raw, same = whole.encode_raw(texts)
+    assert all(same) and whole.gives_back(texts, raw) == [sp.decode(sp.encode(t)) == t for t in texts]
 
 
 # shared
