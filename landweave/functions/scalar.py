@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def format3(x: float) -> str:
@@ -30,10 +31,6 @@ def concat_skipping_nulls(*parts: Column | str) -> Column:
     return F.concat_ws("", *parts)
 
 
-def round_half_even(x: Column) -> Column:
-    return F.rint(x)
-
-
 def interpolate(x: Column, knots: list[tuple[float, float]], clamp: bool = True) -> Column:
     """Piecewise linear through ``knots`` (ascending in x); outside them the end value, or null."""
     out = F.when(x.isNull(), F.lit(None).cast("double"))
@@ -50,9 +47,20 @@ def score_of(scores: Column, name: str, numeric: bool = True) -> Column:
     return value.try_cast("double") if numeric else value
 
 
-def map_from_pairs(pairs: dict[str, object]) -> dict[str, str]:
-    """The string map that a parameter map is stored as."""
-    return {str(k): str(v) for k, v in pairs.items()}
+def string_map(pairs: Column, kind: T.DataType) -> Column:
+    """A map of strings out of a struct (its fields), a map, or an array of structs of two fields; values
+    are their strings, a null value stays one."""
+    if isinstance(kind, T.StructType):
+        pairs = F.array(*[F.struct(F.lit(f.name).alias("key"), pairs[f.name].cast("string").alias("value")) for f in kind])
+        return F.map_from_entries(pairs)
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType) and len(kind.elementType) == 2:
+        key, value = kind.elementType.names
+        return F.map_from_entries(F.transform(pairs, lambda p: F.struct(p[key].cast("string").alias("key"), p[value].cast("string").alias("value"))))
+    if isinstance(kind, T.MapType):
+        return pairs.cast("map<string,string>")
+    if isinstance(kind, T.NullType):
+        return pairs.cast("map<string,string>")
+    raise TypeError(f"{kind.simpleString()} holds no pairs")
 
 
 def typed(value: str | None) -> object:
@@ -67,3 +75,8 @@ def typed(value: str | None) -> object:
         except ValueError:
             pass
     return value
+
+
+def typed_map(pairs: dict[str, str] | None) -> dict[str, object] | None:
+    """A stored map with its values in the types that they stand for."""
+    return None if pairs is None else {k: typed(v) for k, v in pairs.items()}

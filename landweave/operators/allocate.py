@@ -196,6 +196,13 @@ def allocate(land: Landscape, transitions: list[Transition], rng: np.random.Gene
     return land.now
 
 
+def transition_inputs(trans: DataFrame, params: DataFrame, rates: DataFrame) -> DataFrame:
+    """Every transition with its parameters and rate: without one a mean area of 1, an elongation of 0.5, a rate of 0."""
+    d = trans.select("id_trans", "id_lulc_anterior", "id_lulc_posterior").join(params.select("id_trans", "area_mean", "area_var", "elongation"), "id_trans", "left")
+    d = d.join(rates.select("id_trans", "rate"), "id_trans", "left")
+    return d.withColumns({"area_mean": F.coalesce("area_mean", F.lit(1.0)), "elongation": F.coalesce("elongation", F.lit(0.5)), "rate": F.coalesce("rate", F.lit(0.0))})
+
+
 def allocate_runs(cells: DataFrame, potentials: DataFrame, transitions: DataFrame, seed: int = 0, **options) -> DataFrame:
     """Allocation of one period for every run at once.
 

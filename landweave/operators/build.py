@@ -107,3 +107,12 @@ def unnest(df: DataFrame, column: str, *keep: str) -> DataFrame:
 
 def today() -> str:
     return dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S UTC")
+
+
+def extent(coords: DataFrame) -> DataFrame:
+    """The box that holds all coordinates."""
+    return coords.agg(F.min("lon").alias("xmin"), F.max("lon").alias("xmax"), F.min("lat").alias("ymin"), F.max("lat").alias("ymax"))
+
+
+def coords_minimal(coords: DataFrame) -> DataFrame:
+    return coords.select("id_coord", "lon", "lat")

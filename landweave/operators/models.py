@@ -7,13 +7,14 @@ models; each one's training matrix is a task's.
 
 from __future__ import annotations
 
+import functools
 import pickle
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -183,6 +184,33 @@ def auc_by(df: DataFrame, *group: str, label: str = "label", score: str = "score
     return sums.select(*group, F.try_divide(F.col("r") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * (F.col("t") - F.col("p"))).alias("auc"))
 
 
+def accuracy_by(df: DataFrame, *group: str, label: str = "label", predicted: str = "predicted") -> DataFrame:
+    """The share of rows per group whose label is what was predicted."""
+    return df.groupBy(*group).agg(F.avg((F.col(predicted) == F.col(label)).cast("double")).alias("acc"))
+
+
+def class_weights(df: DataFrame, label: str) -> DataFrame:
+    """``df`` with ``weight``: rows / (classes * rows of the class). The sums go back by broadcast: a row a class."""
+    n = df.groupBy(label).agg(F.count("*").cast("double").alias("n")).agg(F.sum("n").alias("total"), F.count("*").alias("k"), F.collect_list(F.struct(label, "n")).alias("each"))
+    per = n.select("total", "k", F.inline("each")).select(label, (F.col("total") / (F.col("k") * F.col("n"))).alias("weight"))
+    return df.join(F.broadcast(per), label)
+
+
+PREDICTIONS = "id_run int, id_trans int, learner_id string, row int, truth int, prediction double"
+
+
+def crossval_predictions(models: DataFrame) -> DataFrame:
+    """(id_run, id_trans, learner_id, row, truth, prediction) of the rows that stored models were scored on."""
+
+    def unpack(parts):
+        for pdf in parts:
+            for r in pdf.itertuples(index=False):
+                y, p = pickle.loads(bytes(r.crossval_predictions))
+                yield pd.DataFrame({"id_run": r.id_run, "id_trans": r.id_trans, "learner_id": r.learner_id, "row": np.arange(len(y)), "truth": y, "prediction": p})
+
+    return models.where("crossval_predictions is not null").select("id_run", "id_trans", "learner_id", "crossval_predictions").mapInPandas(unpack, PREDICTIONS)
+
+
 def stratified(df: DataFrame, share: float, seed: int, *by: str, key: str = "id_coord") -> DataFrame:
     """``df`` with ``is_train``: within each stratum the given share of rows, in the order of a hash of their key."""
     w = Window.partitionBy(*by)
@@ -193,16 +221,28 @@ def stratified(df: DataFrame, share: float, seed: int, *by: str, key: str = "id_
 MODEL_SCHEMA = "id_run int, id_trans int, learner_id string, learner_params map<string,string>, learner_spec binary, crossval_score map<string,string>, crossval_predictions binary, learner_full binary"
 
 
-def fit_partial(training: DataFrame, features: Sequence[str], learner: object, measures: Sequence[str] = ("classif.auc", "classif.acc"), share: float = 0.7, seed: int = 1) -> DataFrame:
+Features = Sequence[str] | Mapping[int, Sequence[str]]
+
+
+def _of(features: Features, id_trans: int) -> list[str]:
+    """The features of a transition: all have the same, or each its own."""
+    return list(features[id_trans] if isinstance(features, Mapping) else features)
+
+
+def _matrix(pdf: pd.DataFrame, names: list[str]) -> np.ndarray:
+    return pdf[names].to_numpy(dtype=float) if names else np.empty((len(pdf), 0))
+
+
+def fit_partial(training: DataFrame, features: Features, learner: object, measures: Sequence[str] = ("classif.auc", "classif.acc"), share: float = 0.7, seed: int = 1) -> DataFrame:
     """Per (id_run, id_trans) a learner fitted on the train part of ``training`` (with is_train) and scored
     on the rest. A failure is a row with learner_id "error" and the reason as its score."""
-    features, measures = list(features), list(measures)
+    measures = list(measures)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         run, trans = int(pdf["id_run"].iloc[0]), int(pdf["id_trans"].iloc[0])
         try:
             y = pdf["did_transition"].to_numpy().astype(int)
-            x = pdf[features].to_numpy(dtype=float) if features else np.empty((len(y), 0))
+            x = _matrix(pdf, _of(features, trans))
             train = pdf["is_train"].to_numpy()
             model = pickle.loads(pickle.dumps(learner)).fit(x[train], y[train])
             p = model.predict(x[~train])
@@ -216,19 +256,18 @@ def fit_partial(training: DataFrame, features: Sequence[str], learner: object, m
     return d.groupBy("id_run", "id_trans").applyInPandas(fit, MODEL_SCHEMA)
 
 
-def fit_full(training: DataFrame, features: Sequence[str], chosen: DataFrame | None = None, learner: object | None = None) -> DataFrame:
+def fit_full(training: DataFrame, features: Features, chosen: DataFrame | None = None, learner: object | None = None) -> DataFrame:
     """Models fitted on all rows: of one ``learner`` (with the score no.crossval = 1), or of each (run,
     transition)'s row in ``chosen`` (learner_spec and crossval_score)."""
     if (chosen is None) == (learner is None):
         raise ValueError("give a learner or chosen models")
-    features = list(features)
 
     def fit(key: tuple, pdf: pd.DataFrame, spec: pd.DataFrame) -> pd.DataFrame:
         columns = [c.split()[0] for c in MODEL_SCHEMA.split(", ")]
         if not len(pdf) or (learner is None and not len(spec)):
             return pd.DataFrame(columns=columns)
         y = pdf["did_transition"].to_numpy().astype(int)
-        x = pdf[features].to_numpy(dtype=float) if features else np.empty((len(y), 0))
+        x = _matrix(pdf, _of(features, int(key[1])))
         raw = pickle.dumps(learner) if learner is not None else spec["learner_spec"].iloc[0]
         scores = {"no.crossval": "1"} if learner is not None else dict(spec["crossval_score"].iloc[0])
         model = pickle.loads(raw).fit(x, y)
@@ -239,10 +278,9 @@ def fit_full(training: DataFrame, features: Sequence[str], chosen: DataFrame | N
     return training.groupBy("id_run", "id_trans").cogroup(of.groupBy("id_run", "id_trans")).applyInPandas(fit, MODEL_SCHEMA)
 
 
-def predict(rows: DataFrame, features: Sequence[str], models: DataFrame) -> DataFrame:
+def predict(rows: DataFrame, features: Features, models: DataFrame) -> DataFrame:
     """Potentials in [0, 1] of ``rows`` (id_trans, id_coord and the features). Models are small and travel
     with their transition's rows, which are scored batch by batch without grouping."""
-    features = list(features)
     held = rows.sparkSession.sparkContext.broadcast({r["id_trans"]: bytes(r["learner_full"]) for r in models.select("id_trans", "learner_full").collect()})
 
     def score(parts):
@@ -250,31 +288,36 @@ def predict(rows: DataFrame, features: Sequence[str], models: DataFrame) -> Data
         for pdf in parts:
             for trans, some in pdf.groupby("id_trans"):
                 if trans in loaded:
-                    x = some[features].to_numpy(dtype=float) if features else np.empty((len(some), 0))
+                    x = _matrix(some, _of(features, int(trans)))
                     yield pd.DataFrame({"id_trans": some["id_trans"], "id_coord": some["id_coord"], "value": np.clip(loaded[trans].predict(x), 0, 1)})
 
-    return rows.select("id_trans", "id_coord", *features).mapInPandas(score, "id_trans int, id_coord int, value double")
+    names = sorted({n for own in features.values() for n in own}) if isinstance(features, Mapping) else features
+    return rows.select("id_trans", "id_coord", *names).mapInPandas(score, "id_trans int, id_coord int, value double")
 
 
-def filter_scores(training: DataFrame, features: Sequence[str], kind: str = "correlation", learner: object | None = None, folds: int = 2, seed: int = 1) -> DataFrame:
+def filter_scores(training: DataFrame, features: Features, kind: str = "correlation", learner: object | None = None, folds: int = 2, seed: int = 1) -> DataFrame:
     """(id_run, id_trans, feature, score): |correlation| with the label in built-in operators; or by
     ``learner`` the cross-validated AUC with the feature alone (performance), or importances."""
-    features = list(features)
     if kind == "correlation":
         y = F.col("did_transition").cast("double")
-        wide = training.groupBy("id_run", "id_trans").agg(*[F.abs(F.corr(F.col(f).cast("double"), y)).alias(f) for f in features])
-        return wide.unpivot(["id_run", "id_trans"], features, "feature", "score").withColumn("score", F.nanvl("score", F.lit(None)))
+        names = sorted({n for own in features.values() for n in own}) if isinstance(features, Mapping) else list(features)
+        wide = training.groupBy("id_run", "id_trans").agg(*[F.abs(F.corr(F.col(f).cast("double"), y)).alias(f) for f in names])
+        out = wide.unpivot(["id_run", "id_trans"], names, "feature", "score").withColumn("score", F.nanvl("score", F.lit(None)))
+        if isinstance(features, Mapping):
+            out = out.where(functools.reduce(Column.__or__, [(F.col("id_trans") == t) & F.col("feature").isin(list(own)) for t, own in features.items()], F.lit(False)))
+        return out
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        y, x = pdf["did_transition"].to_numpy().astype(int), pdf[features].to_numpy(dtype=float)
+        names = _of(features, int(pdf["id_trans"].iloc[0]))
+        y, x = pdf["did_transition"].to_numpy().astype(int), _matrix(pdf, names)
         try:
             if kind == "importance":
                 scores = pickle.loads(pickle.dumps(learner)).fit(x, y).importance
             else:
                 fold = np.random.default_rng(seed).permutation(len(y)) % folds
-                scores = [np.mean([auc(y[fold == k], pickle.loads(pickle.dumps(learner)).fit(x[fold != k][:, [j]], y[fold != k]).predict(x[fold == k][:, [j]])) for k in range(folds)]) for j in range(len(features))]
+                scores = [np.mean([auc(y[fold == k], pickle.loads(pickle.dumps(learner)).fit(x[fold != k][:, [j]], y[fold != k]).predict(x[fold == k][:, [j]])) for k in range(folds)]) for j in range(len(names))]
         except Exception:  # noqa: BLE001 - a failed filter has no score
-            scores = [np.nan] * len(features)
-        return pd.DataFrame({"id_run": int(pdf["id_run"].iloc[0]), "id_trans": int(pdf["id_trans"].iloc[0]), "feature": features, "score": scores})
+            scores = [np.nan] * len(names)
+        return pd.DataFrame({"id_run": int(pdf["id_run"].iloc[0]), "id_trans": int(pdf["id_trans"].iloc[0]), "feature": names, "score": scores})
 
     return training.groupBy("id_run", "id_trans").applyInPandas(one, "id_run int, id_trans int, feature string, score double").withColumn("score", F.nanvl("score", F.lit(None)))

@@ -106,29 +106,57 @@ def class_stats(labelled: DataFrame, *group: str, cell_size: float = 1.0) -> Dat
     return per.groupBy(*group, "value").agg(F.count("*").cast("int").alias("patch_count"), F.avg("area").alias("patch_area_mean"), F.var_samp("area").alias("patch_area_variance"), F.avg("e").alias("patch_elongation_mean"))
 
 
-def classify_cells(maps: DataFrame, from_class: int, to_class: int, *group: str) -> DataFrame:
-    """The cells of ``maps`` (group, row, col, anterior, posterior) that take a transition, each an
-    expander (one of its eight neighbours already has the class), a patcher (none has) or,
-    where all its neighbours take the transition themselves, neither.
-    """
+def around(cells: DataFrame) -> DataFrame:
+    """Every cell once for each of the nine cells of its 3 x 3 window: their places are r2 and c2. So a focal
+    operation is an equi-join."""
+    d = cells.withColumn("d", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in AROUND])))
+    return d.withColumn("r2", F.col("row") + F.col("d.i")).withColumn("c2", F.col("col") + F.col("d.j")).drop("d")
+
+
+def focal_sum(cells: DataFrame, value: str, *group: str) -> DataFrame:
+    """(group, row, col, total, n): of each cell's 3 x 3 window, itself included, the sum of values and the number of cells
+    that have one."""
     keys = list(group)
-    is_trans = (F.col("anterior") == from_class) & (F.col("posterior") == to_class)
-    trans = maps.where(is_trans).select(*keys, "row", "col")
-    # A neighbour counts with whether it had the class; transition cells say nothing.
-    said = maps.where(F.col("anterior").isNotNull() & ~F.coalesce(is_trans, F.lit(False))).select(*keys, F.col("row").alias("r2"), F.col("col").alias("c2"), (F.col("anterior") == to_class).cast("int").alias("had"))
-    near = trans.withColumn("d", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in AROUND]))).withColumn("r2", F.col("row") + F.col("d.i")).withColumn("c2", F.col("col") + F.col("d.j"))
-    found = near.join(said, [*keys, "r2", "c2"], "left").groupBy(*keys, "row", "col").agg(F.sum("had").alias("near"))
-    return found.select(*keys, "row", "col", F.when(F.col("near") >= 1, "expander").when(F.col("near") == 0, "patcher").alias("kind"))
+    held = cells.where(F.col(value).isNotNull()).select(*keys, F.col("row").alias("r2"), F.col("col").alias("c2"), F.col(value).alias("v"))
+    near = around(cells.select(*keys, "row", "col")).join(held, [*keys, "r2", "c2"], "left")
+    return near.groupBy(*keys, "row", "col").agg(F.sum("v").alias("total"), F.count("v").alias("n"))
 
 
-def alloc_params(maps: DataFrame, from_class: int, to_class: int, *group: str) -> DataFrame:
-    """Per group the parameters of one transition; without any such cell sizes and fractions are 0."""
+def classify_all(maps: DataFrame, trans: DataFrame, *group: str) -> DataFrame:
+    """The cells of ``maps`` (group, row, col, anterior, posterior) that take a transition of ``trans`` (id_trans,
+    id_lulc_anterior, id_lulc_posterior; a row a pair of classes), each an expander (one of its eight neighbours
+    already has the class), a patcher (none has) or, where all its neighbours take the transition
+    themselves, neither. Only neighbours of such cells are looked up, for all transitions at once.
+    """
     keys = list(group)
-    kinds = classify_cells(maps, from_class, to_class, *keys)
+    ends = F.broadcast(trans.select("id_trans", F.col("id_lulc_anterior").alias("anterior"), F.col("id_lulc_posterior").alias("posterior")))
+    taken = maps.join(ends, ["anterior", "posterior"]).select(*keys, "id_trans", "row", "col", F.col("anterior").alias("start"), F.col("posterior").alias("end"))
+    held = maps.select(*keys, F.col("row").alias("r2"), F.col("col").alias("c2"), "anterior", "posterior")
+    # A neighbour counts with whether it had the class; those that take the transition say nothing.
+    same = F.coalesce((F.col("anterior") == F.col("start")) & (F.col("posterior") == F.col("end")), F.lit(False))
+    had = F.when(~same, (F.col("anterior") == F.col("end")).cast("int"))
+    found = around(taken).join(held, [*keys, "r2", "c2"], "left").groupBy(*keys, "id_trans", "row", "col").agg(F.sum(had).alias("near"))
+    return found.select(*keys, "id_trans", "row", "col", F.when(F.col("near") >= 1, "expander").when(F.col("near") == 0, "patcher").alias("kind"))
+
+
+def _one(like: DataFrame, from_class: int, to_class: int) -> DataFrame:
+    return like.sparkSession.createDataFrame([(0, from_class, to_class)], "id_trans int, id_lulc_anterior int, id_lulc_posterior int")
+
+
+def classify_cells(maps: DataFrame, from_class: int, to_class: int, *group: str) -> DataFrame:
+    """The same of one transition."""
+    return classify_all(maps, _one(maps, from_class, to_class), *group).drop("id_trans")
+
+
+def alloc_params_all(maps: DataFrame, trans: DataFrame, *group: str) -> DataFrame:
+    """Per group and transition the parameters; without any such cell sizes and fractions are 0."""
+    keys = [*group, "id_trans"]
+    kinds = classify_all(maps, trans, *group)
     shares = kinds.groupBy(*keys).agg(F.count("*").cast("double").alias("n"), F.count_if(F.col("kind") == "expander").alias("e"), F.count_if(F.col("kind") == "patcher").alias("p"))
     stats = class_stats(patches(kinds.where("kind = 'patcher'").withColumn("value", F.lit(1)), *keys), *keys).drop("value", "patch_count")
-    every = maps.select(*keys).distinct() if keys else maps.sparkSession.range(1).select()
-    out = every.join(shares, keys, "left").join(stats, keys, "left") if keys else every.crossJoin(shares).join(stats, how="left")
+    every = trans.select("id_trans")
+    every = maps.select(*group).distinct().crossJoin(F.broadcast(every)) if group else every
+    out = every.join(shares, keys, "left").join(stats, keys, "left")
     none = F.coalesce(F.col("n"), F.lit(0.0)) == 0
     zero = lambda c: F.when(none, 0.0).otherwise(c)
     return out.select(
@@ -137,6 +165,11 @@ def alloc_params(maps: DataFrame, from_class: int, to_class: int, *group: str) -
     )
 
 
+def alloc_params(maps: DataFrame, from_class: int, to_class: int, *group: str) -> DataFrame:
+    """Per group the parameters of one transition."""
+    return alloc_params_all(maps, _one(maps, from_class, to_class), *group).drop("id_trans")
+
+
 def mean_params(params: DataFrame) -> DataFrame:
     """Means over periods of each transition's parameters; what is missing doesn't count."""
     cols = ["mean_patch_size", "patch_size_variance", "patch_elongation", "patch_isometry", "frac_expander", "frac_patcher"]

@@ -83,3 +83,8 @@ def recode(samples: DataFrame, lulc_meta: DataFrame, column: str = "src_class")
     """Source classes to land-use classes."""
     long = lulc_meta.select("id_lulc", F.explode("src_classes").alias(column))
     return samples.join(F.broadcast(long), column)
+
+
+def predictors_by_transition(trans_preds: DataFrame) -> DataFrame:
+    """(id_trans, id_preds): each transition's predictors in order."""
+    return trans_preds.select("id_trans", "id_pred").distinct().groupBy("id_trans").agg(F.sort_array(F.collect_list("id_pred")).alias("id_preds"))

@@ -89,21 +89,32 @@ def similarity_cells(cells: DataFrame, n_rows: int, n_cols: int, *group: str, wi
     return spread.groupBy(*keys, "ti", "tj").applyInPandas(one, schema).withColumns({c: F.nanvl(F.col(c), F.lit(None)) for c in ("sim_a", "sim_b")})
 
 
-def fuzzy_similarity(cells: DataFrame, n_rows: int, n_cols: int, *group: str, **options) -> DataFrame:
-    """Per group the mean similarity both ways and the smaller of the two."""
+def fuzzy_similarity(cells: DataFrame, n_rows: int, n_cols: int, *group: str, ignore_na: bool = True, **options) -> DataFrame:
+    """Per group the mean similarity both ways and the smaller of the two. Cells without a similarity (no class, or a
+    gap in the window) don't count; without ``ignore_na`` a mean over a map that has any is null."""
     sims = similarity_cells(cells, n_rows, n_cols, *group, **options)
-    return sims.groupBy(*group).agg(F.avg("sim_a").alias("mean_a"), F.avg("sim_b").alias("mean_b")).withColumn("similarity", F.least("mean_a", "mean_b"))
+    mean = lambda c: F.avg(c) if ignore_na else F.when(F.count(c) == n_rows * n_cols, F.avg(c))
+    found = sims.groupBy(*group).agg(mean("sim_a").alias("mean_a"), mean("sim_b").alias("mean_b"))
+    return found.withColumn("similarity", F.when(F.col("mean_a").isNotNull() & F.col("mean_b").isNotNull(), F.least("mean_a", "mean_b")))
+
+
+def transition_similarities(cells: DataFrame, trans: DataFrame, n_rows: int, n_cols: int, *group: str, **options) -> DataFrame:
+    """Of observed and simulated changes (cells: group, row, col, init, obs, sim), for every transition in ``trans``
+    (id_trans, id_lulc_anterior, id_lulc_posterior; a row a pair of classes): the fuzzy similarity, and the
+    numbers of cells; null where neither map has the change. All transitions are groups of one job."""
+    keys = [*group, "id_trans"]
+    d = cells.crossJoin(F.broadcast(trans.select("id_trans", "id_lulc_anterior", "id_lulc_posterior")))
+    mask = lambda c: F.coalesce((F.col("init") == F.col("id_lulc_anterior")) & (F.col(c) == F.col("id_lulc_posterior")), F.lit(False)).cast("int")
+    d = d.select(*keys, "row", "col", mask("obs").alias("a"), mask("sim").alias("b"))
+    counts = d.groupBy(*keys).agg(F.sum("a").alias("n_observed"), F.sum("b").alias("n_simulated"))
+    joined = counts.join(fuzzy_similarity(d, n_rows, n_cols, *keys, **options), keys)
+    return joined.withColumn("similarity", F.when((F.col("n_observed") > 0) | (F.col("n_simulated") > 0), F.col("similarity")))
 
 
 def transition_similarity(cells: DataFrame, from_class: int, to_class: int, n_rows: int, n_cols: int, *group: str, **options) -> DataFrame:
-    """Of observed and simulated changes (cells: group, row, col, init, obs, sim) of one transition: the
-    fuzzy similarity, and the numbers of cells; null where neither map has the change."""
-    mask = lambda c: ((F.col("init") == from_class) & (F.col(c) == to_class)).cast("int")
-    d = cells.select(*group, "row", "col", F.coalesce(mask("obs"), F.lit(0)).alias("a"), F.coalesce(mask("sim"), F.lit(0)).alias("b"))
-    counts = d.groupBy(*group).agg(F.sum("a").alias("n_observed"), F.sum("b").alias("n_simulated"))
-    found = fuzzy_similarity(d, n_rows, n_cols, *group, **options)
-    joined = counts.join(found, list(group)) if group else counts.crossJoin(found)
-    return joined.withColumn("similarity", F.when((F.col("n_observed") > 0) | (F.col("n_simulated") > 0), F.col("similarity")))
+    """The same of one transition."""
+    one = cells.sparkSession.createDataFrame([(0, from_class, to_class)], "id_trans int, id_lulc_anterior int, id_lulc_posterior int")
+    return transition_similarities(cells, one, n_rows, n_cols, *group, **options).drop("id_trans")
 
 
 def ensemble_summary(simulated: DataFrame, initial: DataFrame) -> DataFrame:
@@ -113,3 +124,10 @@ def ensemble_summary(simulated: DataFrame, initial: DataFrame) -> DataFrame:
     mode = n.groupBy("id_coord").agg(F.max_by("id_lulc", F.struct("n", -F.col("id_lulc"))).alias("mode_lulc"), F.sum("n").alias("n_runs"))
     changed = simulated.join(initial.select("id_coord", F.col("id_lulc").alias("first_lulc")), "id_coord").groupBy("id_coord", "first_lulc").agg(F.count_if(F.col("id_lulc") != F.col("first_lulc")).alias("n_changed"))
     return mode.join(changed, "id_coord").select("id_coord", "first_lulc", "n_runs", "n_changed", (F.col("n_changed").cast("double") / F.col("n_runs")).alias("p_changed"), "mode_lulc")
+
+
+def class_shares(cells: DataFrame, value: str = "id_lulc") -> DataFrame:
+    """(value, n_cells, share) of a map's classes; the total is that of one row a class."""
+    n = cells.groupBy(value).agg(F.count("*").alias("n_cells"))
+    total = n.agg(F.sum("n_cells").alias("total"))
+    return n.crossJoin(F.broadcast(total)).select(value, "n_cells", (F.col("n_cells").cast("double") / F.col("total")).alias("share"))

@@ -11,11 +11,9 @@ from __future__ import annotations
 
 import functools
 import os
-import re
 import shutil
-import subprocess
 import warnings
-from collections.abc import Callable, Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,10 +21,10 @@ from pyspark.sql import functions as F
 
 from ..operators import allocate, build, models, neighbors, patches, potential, transitions, validate
 from ..schemas import SOURCES, TABLES
-from ..sources.folders import settle
+from ..sources.folders import remove, settle, settle_at
 from ..sources.raster import tabular_to_raster
 from ..sources.store import ParquetStore
-from . import design
+from . import design, external
 from .lineage import lineage, validate_runs, visible
 
 
@@ -63,26 +61,27 @@ class LandDatabase(ParquetStore):
         df = self.read(name)
         return df if name == "runs_t" else visible(df, self._line, shadow)
 
-    def fetch(self, name: str, cols: Sequence[str] | None = None, where: str | None = None, limit: int | None = None) -> DataFrame:
+    def fetch(self, name: str, cols: Sequence[str] | None = None, where: str | None = None, limit: int | None = None, in_order: bool = False) -> DataFrame:
         if not self.exists(name):
             raise KeyError(f"no table {name}")
-        df = self.get(name)
-        df = df if where is None else df.where(where)
-        df = df if cols is None else df.select(*[F.col(f"`{c}`") for c in cols])
-        return df if limit is None else df.limit(limit)
-
-    def put(self, name: str, df: DataFrame, **attributes) -> int:
-        """Casts, validates and writes rows in the table's mode. A table to be written once that is there
-        already stays, with a warning."""
+        return self._fetched(self.get(name), name, cols, where, limit, in_order)
+
+    def put(self, name: str, df: DataFrame | str, **attributes) -> int:
+        """Casts, validates and writes rows (or a view's) in the table's mode; they are computed once. A table to be
+        written once that is there already stays, with a warning."""
         spec = TABLES[name]
         if spec.mode == "write_once" and self.exists(name):
             warnings.warn(f"{name} is there already and stays", stacklevel=2)
             return self.row_count(name)
-        df = spec.validate(spec.cast(df))
-        if name == "runs_t":
-            validate_runs(df.unionByName(self.read(name).join(df.select("id_run"), "id_run", "left_anti")) if self.exists(name) else df)
-        mode = "overwrite" if spec.mode in ("write_once", "overwrite") else "upsert"
-        return self.commit(df, name, mode, keys=list(spec.keys), alternate=list(spec.alternate), partitions=list(spec.partitions), maps=list(spec.maps), **attributes)
+        df, settled = settle_at(spec.cast(self._frame(df, spec.maps)), name)
+        try:
+            spec.validate(df)
+            if name == "runs_t":
+                validate_runs(df.unionByName(self.read(name).join(df.select("id_run"), "id_run", "left_anti"), True) if self.exists(name) else df)
+            mode = "overwrite" if spec.mode in ("write_once", "overwrite") else "upsert"
+            return self.commit(df, name, mode, settled=True, keys=list(spec.keys), alternate=list(spec.alternate), partitions=list(spec.partitions), maps=list(spec.maps), **attributes)
+        finally:
+            remove(self.spark, settled)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
@@ -105,11 +104,11 @@ class LandDatabase(ParquetStore):
 
     @property
     def extent(self) -> DataFrame:
-        return self.get("coords_t").agg(F.min("lon").alias("xmin"), F.max("lon").alias("xmax"), F.min("lat").alias("ymin"), F.max("lat").alias("ymax"))
+        return build.extent(self.get("coords_t"))
 
     @property
     def coords_minimal(self) -> DataFrame:
-        return self.get("coords_t").select("id_coord", "lon", "lat")
+        return build.coords_minimal(self.get("coords_t"))
 
     def adjusted_trans_pot_v(self, id_period_post: int) -> DataFrame:
         return potential.adjusted_potentials(self.get("trans_pot_t"), self.get("trans_rates_t"), id_period_post)
@@ -152,10 +151,7 @@ class LandDatabase(ParquetStore):
 
     def summary(self, name: str) -> DataFrame:
         """Rows, and per column the number of distinct values and the range."""
-        df = self.get(name)
-        plain = [n for n, t in df.dtypes if not t.startswith(("array", "map", "struct", "binary"))]
-        one = df.agg(F.count("*").alias("n_rows"), *[f(c).alias(f"{k}_{c}") for c in plain for k, f in (("n", F.count_distinct), ("min", F.min), ("max", F.max))])
-        return one.select("n_rows", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n_{c}").alias("n_distinct"), F.col(f"min_{c}").cast("string").alias("min"), F.col(f"max_{c}").cast("string").alias("max")) for c in plain])).alias("s")).select("n_rows", "s.*")
+        return summarise(self.get(name))
 
     # building
 
@@ -184,12 +180,17 @@ class LandDatabase(ParquetStore):
         self.put("pred_data_t", data.select(F.lit(self.id_run or 0).alias("id_run"), "id_period", F.lit(id_pred).alias("id_pred"), "id_coord", value.cast("double").alias("value")))
         return id_pred
 
-    def set_neighbors(self, max_distance: float = 1000, breaks: Sequence[float] = neighbors.BREAKS, overwrite: bool = False) -> None:
+    def set_neighbors(self, max_distance: float = 1000, breaks: Sequence[float] = neighbors.BREAKS, overwrite: bool = False, rows_per_file: int = 100_000_000) -> None:
+        """Stores the pairs of neighbours, in files of bounded size; leaves those that are there unless ``overwrite``."""
         if self.exists("neighbors_t"):
             if not overwrite:
                 return
             self.delete_from("neighbors_t")
-        self.put("neighbors_t", neighbors.neighbor_pairs(self.get("coords_t"), max_distance, breaks), max_distance=float(max_distance))
+        self.rows_per_file = rows_per_file
+        try:
+            self.put("neighbors_t", neighbors.neighbor_pairs(self.get("coords_t"), max_distance, breaks), max_distance=float(max_distance))
+        finally:
+            del self.rows_per_file
 
     def generate_neighbor_predictors(self) -> None:
         """Predictors that count neighbours by class and distance, and their values in all observed periods."""
@@ -218,15 +219,36 @@ class LandDatabase(ParquetStore):
     def _viable(self) -> list[int]:
         return sorted(r[0] for r in self.get("trans_meta_t").where("is_viable").select("id_trans").collect())
 
-    def _training(self, id_trans: int) -> tuple[DataFrame, list[str]]:
-        preds = self._predictors(id_trans, None)
-        d = design.training_matrix(self.get("lulc_data_t"), self.get("pred_data_t"), self.get("periods_t"), *self._transition(id_trans), preds)
-        return d.withColumns({"id_run": F.lit(self.id_run or 0), "id_trans": F.lit(id_trans)}), [f"id_pred_{i}" for i in preds]
+    def _training(self, trans_preds: DataFrame | None = None, trans_meta: DataFrame | None = None) -> tuple[DataFrame, dict[int, list[str]]]:
+        """The rows of every viable transition for every run that has predictors of its own, in one plan a run, and each
+        transition's features. Both tables hold a row a transition, or one a predictor of it."""
+        preds = self.get("trans_preds_t") if trans_preds is None else trans_preds
+        trans = (self.get("trans_meta_t") if trans_meta is None else trans_meta).where("is_viable")
+        known = {r["id_trans"] for r in trans.select("id_trans").collect()}
+        by_run: dict[int, dict[int, set[int]]] = {}
+        for r in preds.select("id_run", "id_trans", "id_pred").distinct().collect():
+            if r["id_trans"] in known:
+                by_run.setdefault(r["id_run"], {}).setdefault(r["id_trans"], set()).add(r["id_pred"])
+        if not by_run:
+            raise ValueError("no viable transition has predictors")
+        own = {t: sorted(set().union(*(run.get(t, set()) for run in by_run.values()))) for t in known}
+        every = sorted(set().union(*own.values()))
+        before, out = self.id_run, []
+        try:
+            for run in sorted(by_run):
+                # Run 0 stands for the active one: predictors of the base hold for every run.
+                self.id_run = before if run == 0 else run
+                some = trans.where(F.col("id_trans").isin(list(by_run[run])))
+                d = design.training_matrices(self.get("lulc_data_t"), self.get("pred_data_t"), self.get("periods_t"), some, every)
+                out.append(d.withColumn("id_run", F.lit(self.id_run or 0)))
+        finally:
+            self.id_run = before
+        return functools.reduce(DataFrame.unionByName, out), {t: [f"id_pred_{i}" for i in ids] for t, ids in own.items()}
 
-    def fit_partial_models(self, learner: object, measures: Sequence[str] = ("classif.auc", "classif.acc"), sample_frac: float = 0.7, seed: int = 1) -> DataFrame:
-        """Every viable transition's model on a stratified share of its rows, scored on the rest; stored and returned."""
-        out = [models.fit_partial(*self._training(t), learner, measures, sample_frac, seed) for t in self._viable()]
-        self.put("trans_models_t", functools.reduce(DataFrame.unionByName, out))
+    def fit_partial_models(self, learner: object, measures: Sequence[str] = ("classif.auc", "classif.acc"), sample_frac: float = 0.7, seed: int = 1, trans_preds: DataFrame | None = None, trans_meta: DataFrame | None = None) -> DataFrame:
+        """Every viable transition's model on a stratified share of its rows, scored on the rest; stored and returned.
+        All fits are groups of one job."""
+        self.put("trans_models_t", models.fit_partial(*self._training(trans_preds, trans_meta), learner, measures, sample_frac, seed))
         return self.get("trans_models_t")
 
     def fit_full_models(self, learner: object | None = None, select_score: str | None = None, select_maximize: bool = True) -> DataFrame:
@@ -234,16 +256,16 @@ class LandDatabase(ParquetStore):
         if (learner is None) == (select_score is None):
             raise ValueError("give a learner or a score to select by")
         chosen = None if select_score is None else potential.best_models(self.get("trans_models_t"), select_score, select_maximize)
-        out = []
-        for t in self._viable():
-            rows, features = self._training(t)
-            out.append(models.fit_full(rows, features, None if chosen is None else chosen.where(F.col("id_trans") == t), learner))
-        self.put("trans_models_t", functools.reduce(DataFrame.unionByName, out))
+        rows, features = self._training()
+        self.put("trans_models_t", models.fit_full(rows, features, chosen, learner))
         return self.get("trans_models_t")
 
     def get_pred_filter_score(self, kind: str, learner: object | None = None) -> DataFrame:
-        out = [models.filter_scores(*self._training(t), kind, learner) for t in self._viable()]
-        return functools.reduce(DataFrame.unionByName, out)
+        return models.filter_scores(*self._training(), kind, learner)
+
+    def get_crossval_predictions(self) -> DataFrame:
+        """What stored models predicted of the rows that they were scored on."""
+        return models.crossval_predictions(self.get("trans_models_t"))
 
     def get_crossval_scores(self) -> DataFrame:
         """(id_run, id_trans, learner_id, measure, score) of the stored models."""
@@ -256,16 +278,23 @@ class LandDatabase(ParquetStore):
         if missing:
             raise ValueError(f"transitions {missing} have no model")
         best = potential.best_models(held, select_score, select_maximize)
-        best = self.spark.createDataFrame(best.groupBy("id_trans").agg(F.max_by("learner_full", "id_run").alias("learner_full")).collect(), "id_trans int, learner_full binary")
-        out = []
-        for t in self._viable():
-            preds = self._predictors(t, None)
-            rows = design.inference_matrix(self.get("lulc_data_t"), self.get("pred_data_t"), self._transition(t)[0], preds, id_period_post - 1)
-            out.append(models.predict(rows.withColumn("id_trans", F.lit(t)), [f"id_pred_{i}" for i in preds], best.where(F.col("id_trans") == t)))
-        if not out:
-            warnings.warn("no viable transitions: no potentials", stacklevel=2)
+        best = best.groupBy("id_trans").agg(F.max_by("learner_full", "id_run").alias("learner_full"))
+        trans = self.get("trans_meta_t").where("is_viable")
+        known = {r["id_trans"]: r["id_preds"] for r in transitions.predictors_by_transition(self.get("trans_preds_t")).collect()}
+        preds: dict[int, list[int]] = {t: known.get(t, []) for t in self._viable()}
+        if not any(preds.values()):
+            warnings.warn("no viable transition with predictors: no potentials", stacklevel=2)
             return 0
-        return self.put("trans_pot_t", functools.reduce(DataFrame.unionByName, out).withColumn("id_period_post", F.lit(id_period_post)))
+        rows = design.inference_matrices(self.get("lulc_data_t"), self.get("pred_data_t"), trans, preds, id_period_post - 1)
+        found = models.predict(rows, {t: [f"id_pred_{i}" for i in own] for t, own in preds.items()}, best)
+        found, settled = settle_at(found.withColumn("id_period_post", F.lit(id_period_post)), "potentials")
+        try:
+            has = {r[0] for r in found.select("id_trans").distinct().collect()}
+            for t in sorted(preds.keys() - has):
+                warnings.warn(f"no data for transition {t} in period {id_period_post}: it is skipped", stacklevel=2)
+            return self.put("trans_pot_t", found) if has else 0
+        finally:
+            remove(self.spark, settled)
 
     # allocation
 
@@ -287,9 +316,9 @@ class LandDatabase(ParquetStore):
             self.predict_trans_pot(period, select_score, select_maximize)
             cells = self._cells().join(self.get("lulc_data_t").where(F.col("id_period") == period - 1).select("id_coord", "id_lulc"), "id_coord").select(run, "*")
             pot = self.adjusted_trans_pot_v(period).select(run, "id_trans", "id_coord", "value")
-            rates = self.get("trans_rates_t").where(F.col("id_period") == period).select("id_trans", "rate")
+            rates = self.get("trans_rates_t").where(F.col("id_period") == period)
             par = self.alloc_params_patches_v().groupBy("id_trans").agg(*[F.max_by(c, "id_run").alias(c) for c in ("area_mean", "area_var", "elongation")])
-            trans = self.get("trans_meta_t").where("is_viable").join(par, "id_trans", "left").join(rates, "id_trans", "left").select(run, "id_trans", "id_lulc_anterior", "id_lulc_posterior", F.coalesce("area_mean", F.lit(1.0)).alias("area_mean"), "area_var", "elongation", "rate")
+            trans = allocate.transition_inputs(self.get("trans_meta_t").where("is_viable"), par, rates).select(run, "*")
             done = allocate.allocate_runs(cells, pot, trans, seed=seed * 1000 + period, area_kind=area_kind, avoid=avoid, batch_size=batch_size)
             self.put("lulc_data_t", done.where("id_lulc is not null").withColumn("id_period", F.lit(period)))
             if has_neighbors:
@@ -299,8 +328,7 @@ class LandDatabase(ParquetStore):
         """Parameters of every viable transition: means over the observed periods, and perturbed copies for further runs."""
         seen = self.get("periods_t").where("not is_extrapolated and id_period > 1").select("id_period")
         maps = self.trans_v.join(F.broadcast(seen), "id_period", "left_semi").join(self._cells(), "id_coord").select("id_period", "row", "col", F.col("id_lulc_anterior").alias("anterior"), F.col("id_lulc_posterior").alias("posterior"))
-        each = [patches.alloc_params(maps, *self._transition(t), "id_period").withColumn("id_trans", F.lit(t)) for t in self._viable()]
-        means = patches.mean_params(functools.reduce(DataFrame.unionByName, each))
+        means = patches.mean_params(patches.alloc_params_all(maps, self.get("trans_meta_t").where("is_viable"), "id_period"))
         runs = sorted(r[0] for r in self.read("runs_t").select("id_run").collect() if r[0] > 0)
         return patches.perturbed_params(means, n_perturbations, sd, seed, runs)
 
@@ -319,9 +347,9 @@ class LandDatabase(ParquetStore):
                 sim = self.read("lulc_data_t").where((F.col("id_run") == run) & (F.col("id_period") == id_periods[-1])).select("id_coord", F.col("id_lulc").alias("sim"))
                 obs = observed.where(F.col("id_period") == id_periods[-1]).select("id_coord", "obs")
                 maps = self._cells().join(initial, "id_coord").join(sim, "id_coord").join(obs, "id_coord")
-                for t in self._viable():
-                    s = validate.transition_similarity(maps, *self._transition(t), size[0] + 1, size[1] + 1, window=window).first()
-                    found.append((run, t, None if s is None else s["similarity"]))
+                trans = self.get("trans_meta_t").where("is_viable")
+                scored = validate.transition_similarities(maps, trans, size[0] + 1, size[1] + 1, window=window)
+                found += [(run, r["id_trans"], r["similarity"]) for r in scored.select("id_trans", "similarity").collect()]
         finally:
             self.id_run = before
         scores = self.spark.createDataFrame(found, "id_run int, id_trans int, similarity double")
@@ -341,16 +369,21 @@ class LandDatabase(ParquetStore):
         maps = self.adjusted_trans_pot_v(id_period).join(self._cells(), "id_coord").withColumn("layer", F.format_string("%03d_id_trans_%d", F.col("id_trans"), F.col("id_trans")))
         maps.select("layer", "row", "col", "value").write.mode("overwrite").partitionBy("layer").parquet(f"{folder}/probability")
 
-    def alloc_external(self, id_periods: Sequence[int], select_score: str, folder: str, script: str | None = None, binary: str = "external-allocator") -> None:
-        """Periods through the external allocator: its inputs are exported and its console run; if it isn't
-        installed nothing changes in the period, with a warning."""
+    def alloc_external(self, id_periods: Sequence[int], select_score: str, folder: str, script: str | None = None, binary: str = "external-allocator", **console) -> None:
+        """Periods through the external allocator: its inputs are exported, the text of ``script`` is written beside
+        them with its code blocks encoded, and its console run (see :func:`.external.run_console`); the posterior map is
+        read from the Parquet table posterior (row, col, value). If it isn't installed nothing changes in
+        the period, with a warning. It runs on the driver, so ``folder`` must be a local one then."""
         known = [r[0] for r in self.get("periods_t").select("id_period").collect()]
         for period in build.check_periods(id_periods, known):
             self.predict_trans_pot(period, select_score)
             self.export_external(period, f"{folder}/{period}")
             result = f"{folder}/{period}/posterior"
             if shutil.which(binary) and script:
-                subprocess.run([binary, script], cwd=f"{folder}/{period}", check=True)
+                at = external.local_folder(f"{folder}/{period}")
+                with open(os.path.join(at, "allocation.script"), "w") as f:
+                    f.write(external.recode_script(script))
+                external.run_console(binary, "allocation.script", at, **console)
                 done = self.spark.read.parquet(result).join(self._cells(), ["row", "col"]).select("id_coord", F.col("value").alias("id_lulc"))
             else:
                 warnings.warn(f"{binary} isn't there: period {period} stays as the one before", stacklevel=2)
@@ -358,9 +391,11 @@ class LandDatabase(ParquetStore):
             self.put("lulc_data_t", done.select(F.lit(self.id_run or 0).alias("id_run"), "id_coord", "id_lulc", F.lit(period).alias("id_period")))
 
 
-def fill_script(template: str, values: Mapping[str, object]) -> str:
-    """A model script with its {placeholders} filled; KeyError on one without a value."""
-    return re.sub(r"\{(\w+)\}", lambda m: str(values[m[1]]), template)
+def summarise(df: DataFrame) -> DataFrame:
+    """(n_rows, column, n_distinct, min, max) of every plain column."""
+    plain = [n for n, t in df.dtypes if not t.startswith(("array", "map", "struct", "binary"))]
+    one = df.agg(F.count("*").alias("n_rows"), *[f(c).alias(f"{k}_{c}") for c in plain for k, f in (("n", F.count_distinct), ("min", F.min), ("max", F.max))])
+    return one.select("n_rows", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n_{c}").alias("n_distinct"), F.col(f"min_{c}").cast("string").alias("min"), F.col(f"max_{c}").cast("string").alias("max")) for c in plain])).alias("s")).select("n_rows", "s.*")
 
 
 def run_parallel(items: Iterable, worker: Callable, db: LandDatabase, threads: int = 4) -> list:

@@ -21,17 +21,29 @@ def lineage(runs: DataFrame, id_run: int) -> list[int]:
     return out
 
 
+def orphans(runs: DataFrame) -> DataFrame:
+    """(id_run, parent_id_run) of the runs whose parent isn't among ``runs``."""
+    known = runs.select(F.col("id_run").alias("parent_id_run"))
+    return runs.where("parent_id_run is not null").join(known, "parent_id_run", "left_anti").select("id_run", "parent_id_run")
+
+
+def lineages(runs: DataFrame) -> DataFrame:
+    """(origin, id_run, distance) of every run: itself at 0, its parent at 1, and so on."""
+    return runs.sparkSession.sql(
+        "with recursive l(origin, id_run, distance) as (select id_run, id_run, 0 from {runs} union all select l.origin, r.parent_id_run, l.distance + 1 from l join {runs} r on r.id_run = l.id_run where r.parent_id_run is not null) select cast(origin as int) origin, cast(id_run as int) id_run, cast(distance as int) distance from l",
+        runs=runs,
+    )
+
+
 def validate_runs(runs: DataFrame) -> DataFrame:
     """Ids unique, a base run 0, every parent known."""
-    rows = [(r["id_run"], r["parent_id_run"]) for r in runs.select("id_run", "parent_id_run").collect()]
-    ids = [i for i, _ in rows]
-    if len(set(ids)) != len(ids):
+    if runs.groupBy("id_run").count().where("count > 1").limit(1).count():
         raise ValueError("duplicate id_run")
-    if 0 not in ids:
+    if not runs.where("id_run = 0").limit(1).count():
         raise ValueError("base run 0 is missing")
-    orphans = [i for i, p in rows if p is not None and p not in ids]
-    if orphans:
-        raise ValueError(f"runs {orphans} have unknown parents")
+    lost = sorted(r["id_run"] for r in orphans(runs).collect())
+    if lost:
+        raise ValueError(f"runs {lost} have unknown parents")
     return runs
 
 
@@ -40,6 +52,12 @@ def distance(line: list[int]):
     return F.array_position(F.array(*[F.lit(i) for i in line]), F.col("id_run"))
 
 
+def closest_runs(df: DataFrame, line: list[int], *slices: str) -> DataFrame:
+    """(slices, id_run): of each slice the closest run of the line that has any row of it."""
+    seen = df.where(F.col("id_run").isin(line)).select(*slices, "id_run").distinct()
+    return seen.groupBy(*slices).agg(F.min_by("id_run", distance(line)).alias("id_run"))
+
+
 def visible(df: DataFrame, line: list[int] | None, shadow: bool = False) -> DataFrame:
     """The rows of ``df`` that the run ``line[0]`` sees.
 
@@ -58,8 +76,7 @@ def visible(df: DataFrame, line: list[int] | None, shadow: bool = False) -> Data
         slices = [c for c in ("id_trans", "id_pred", "id_intrv", "learner_id", "id_coord") if c in df.columns]
     else:
         return seen
-    best = seen.select(*slices, "id_run").distinct().groupBy(*slices).agg(F.min_by("id_run", distance(line)).alias("id_run"))
-    return seen.join(best, [*slices, "id_run"], "left_semi")
+    return seen.join(closest_runs(seen, line, *slices), [*slices, "id_run"], "left_semi")
 
 
 def predictor_presence(runs: DataFrame, periods: DataFrame, pred_meta: DataFrame, pred_data: DataFrame, id_run: int) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar
 from ..operators import allocate, build, models, neighbors, patches, potential, transitions, validate
 from ..plans import design, lineage
+from ..plans.database import summarise
 from ..sources import raster
 from ..sources.store import ParquetStore
 from .panel import COLS, TRANS, Panel, sql
@@ -121,8 +122,9 @@ def _(p: Panel) -> DataFrame:
 @query("m4_featureless", "select id_coord, id_lulc_anterior, id_lulc_posterior, round(avg(case when id_lulc_posterior <> id_lulc_anterior then 1.0 else 0.0 end) over (partition by id_lulc_anterior), 8) prior from trans where id_period = 2")
 def _(p: Panel) -> DataFrame:
     t = transitions.transitions(p.lulc).where("id_period = 2")
-    prior = t.groupBy("id_lulc_anterior").agg(r8(F.avg((F.col("id_lulc_posterior") != F.col("id_lulc_anterior")).cast("double"))).alias("prior"))
-    return t.join(F.broadcast(prior), "id_lulc_anterior").select("id_coord", "id_lulc_anterior", "id_lulc_posterior", "prior")
+    rows = t.select(F.lit(0).alias("id_run"), F.col("id_lulc_anterior").alias("id_trans"), "id_coord", "id_lulc_posterior", (F.col("id_lulc_posterior") != F.col("id_lulc_anterior")).alias("did_transition"))
+    priors = models.predict(rows, [], models.fit_full(rows, [], learner=models.Featureless()))
+    return rows.join(priors, ["id_trans", "id_coord"]).select("id_coord", F.col("id_trans").alias("id_lulc_anterior"), "id_lulc_posterior", r8("value").alias("prior"))
 
 
 @query(
@@ -137,14 +139,15 @@ def _(p: Panel) -> DataFrame:
 
 @query("m5_accuracy", "select lang, round(avg(case when (n_chars > 1000) = (quality = 1) then 1.0 else 0.0 end), 8) acc from labels join documents using (doc_id) group by 1", panel=False)
 def _(p: Panel) -> DataFrame:
-    d = p.table("labels").join(p.table("documents"), "doc_id")
-    return d.groupBy("lang").agg(r8(F.avg(((F.col("n_chars") > 1000) == (F.col("quality") == 1)).cast("double"))).alias("acc"))
+    d = p.table("labels").join(p.table("documents"), "doc_id").select("lang", (F.col("quality") == 1).alias("label"), (F.col("n_chars") > 1000).alias("predicted"))
+    return models.accuracy_by(d, "lang").withColumn("acc", r8("acc"))
 
 
-_TRAINING = """select l.id_coord, l.id_period, l.did_transition, s1."value" id_pred_1, s2."value" id_pred_2, d3."value" id_pred_3, d4."value" id_pred_4
+#: Predictors are pivoted once before they are joined.
+_TRAINING = """select l.id_coord, l.id_period, l.did_transition, s.id_pred_1, s.id_pred_2, d.id_pred_3, d.id_pred_4
 from (select id_coord, id_period - 1 id_period, id_lulc_posterior = 2 did_transition from trans where id_lulc_anterior = 1 and id_period - 1 < 5) l
-left join pred s1 on s1.id_pred = 1 and s1.id_coord = l.id_coord left join pred s2 on s2.id_pred = 2 and s2.id_coord = l.id_coord
-left join pred d3 on d3.id_pred = 3 and d3.id_coord = l.id_coord and d3.id_period = l.id_period left join pred d4 on d4.id_pred = 4 and d4.id_coord = l.id_coord and d4.id_period = l.id_period"""
+left join (select id_coord, max("value") filter (where id_pred = 1) id_pred_1, max("value") filter (where id_pred = 2) id_pred_2 from pred where id_period = 0 group by 1) s on s.id_coord = l.id_coord
+left join (select id_coord, id_period, max("value") filter (where id_pred = 3) id_pred_3, max("value") filter (where id_pred = 4) id_pred_4 from pred where id_period > 0 group by 1, 2) d on d.id_coord = l.id_coord and d.id_period = l.id_period"""
 
 
 def _training(p: Panel) -> DataFrame:
@@ -156,6 +159,29 @@ def _(p: Panel) -> DataFrame:
     return _training(p)
 
 
+@query(
+    "d1_training_matrices",
+    """select m.id_trans, l.id_coord, l.id_period, l.post = m.id_lulc_posterior did_transition, s.id_pred_1, d.id_pred_4
+from (select id_coord, id_period - 1 id_period, id_lulc_anterior ant, id_lulc_posterior post from trans where id_period - 1 < 5) l join meta m on m.id_lulc_anterior = l.ant and m.cardinality >= 700
+left join (select id_coord, max("value") id_pred_1 from pred where id_period = 0 and id_pred = 1 group by 1) s on s.id_coord = l.id_coord
+left join (select id_coord, id_period, max("value") id_pred_4 from pred where id_period > 0 and id_pred = 4 group by 1, 2) d on d.id_coord = l.id_coord and d.id_period = l.id_period""",
+)
+def _(p: Panel) -> DataFrame:
+    meta = transitions.transition_meta(transitions.transitions(p.lulc), 700).where("is_viable")
+    return design.training_matrices(p.lulc, p.pred_data, p.periods, meta, [1, 4])
+
+
+@query(
+    "d2_inference_matrices",
+    """, v as (select id_coord, max(case when id_pred = 1 then "value" end) id_pred_1, max(case when id_pred = 3 then "value" end) id_pred_3 from pred where id_pred in (1, 3) and id_period in (0, 4) group by 1)
+select t.id_trans, l.id_coord, v.id_pred_1, v.id_pred_3 from (select unnest([1, 2, 3]) id_trans, unnest([1, 1, 2]) ant) t join lulc l on l.id_lulc = t.ant and l.id_period = 4 join v using (id_coord)
+where (t.id_trans = 1 and v.id_pred_1 is not null) or (t.id_trans = 2 and v.id_pred_3 is not null) or (t.id_trans = 3 and (v.id_pred_1 is not null or v.id_pred_3 is not null))""",
+)
+def _(p: Panel) -> DataFrame:
+    trans = p.spark.createDataFrame([(1, 1), (2, 1), (3, 2)], "id_trans int, id_lulc_anterior int")
+    return design.inference_matrices(p.lulc, p.pred_data, trans, {1: [1], 2: [3], 3: [1, 3]}, 4)
+
+
 @query(
     "d2_inference_matrix",
     """select l.id_coord, max(case when id_pred = 1 then "value" end) id_pred_1, max(case when id_pred = 3 then "value" end) id_pred_3, max(case when id_pred = 4 then "value" end) id_pred_4
@@ -186,17 +212,7 @@ def _(p: Panel) -> DataFrame:
 
 @query("a17_balanced_weights", "select id_coord, id_period, round(cast(count(*) over () as double) / (4 * count(*) over (partition by id_lulc)), 8) weight from lulc")
 def _(p: Panel) -> DataFrame:
-    d = p.lulc
-    n = d.groupBy("id_lulc").agg(F.count("*").cast("double").alias("n")).agg(F.sum("n").alias("total"), F.count("*").alias("k"), F.collect_list(F.struct("id_lulc", "n")).alias("each"))
-    per = n.select("total", "k", F.inline("each"))
-    return d.join(F.broadcast(per), "id_lulc").select("id_coord", "id_period", r8(F.col("total") / (F.col("k") * F.col("n"))).alias("weight"))
-
-
-@query("m1_fit_partial")
-def _(p: Panel) -> DataFrame:
-    t = _training(p).withColumns({"id_run": F.lit(0), "id_trans": F.lit(1)})
-    fitted = models.fit_partial(t, [f"id_pred_{i}" for i in (1, 2, 3, 4)], models.Tree(max_depth=4))
-    return fitted.select("id_run", "id_trans", "learner_id", F.col("crossval_score")["classif.auc"].alias("auc"), F.col("crossval_score")["classif.acc"].alias("acc"))
+    return models.class_weights(p.lulc, "id_lulc").select("id_coord", "id_period", r8("weight").alias("weight"))
 
 
 @query("m3_predict")
@@ -289,12 +305,12 @@ def _(p: Panel) -> DataFrame:
 
 @query("p2_extent", "select min(lon) xmin, max(lon) xmax, min(lat) ymin, max(lat) ymax from coords")
 def _(p: Panel) -> DataFrame:
-    return p.coords.agg(F.min("lon").alias("xmin"), F.max("lon").alias("xmax"), F.min("lat").alias("ymin"), F.max("lat").alias("ymax"))
+    return build.extent(p.coords)
 
 
 @query("p1_coords_minimal", "select id_coord, lon, lat from coords")
 def _(p: Panel) -> DataFrame:
-    return p.coords.select("id_coord", "lon", "lat")
+    return build.coords_minimal(p.coords)
 
 
 @query("p5_square_grid", "select cast(i + 1 as integer) id_coord, 2697000.0::double + (i % 30 + 0.5::double) * 100 lon, 1255000.0::double - (i // 30 + 0.5::double) * 100 lat from range(900) t(i)", panel=False)
@@ -394,36 +410,68 @@ def _(p: Panel) -> DataFrame:
 
 @query("a12_class_stats")
 def _(p: Panel) -> DataFrame:
-    cells = p.lulc.where("id_period = 1 and id_coord < 400").join(p.coords, "id_coord").select("row", "col", F.col("id_lulc").alias("value"))
-    stats = patches.class_stats(patches.patches(cells))
+    cells = p.lulc.where("id_period = 1").join(p.coords, "id_coord").select("row", "col", F.col("id_lulc").alias("value"))
+    stats = patches.class_stats(patches.patches(cells, tile=16))
     return stats.select("value", "patch_count", *[F.round(c, 6).alias(c) for c in ("patch_area_mean", "patch_area_variance", "patch_elongation_mean")])
 
 
-ORACLE_SQL["a12_class_stats"] = sql(
-    """, cells as (select "row" r, col c, id_lulc v, id_coord k from lulc join coords using (id_coord) where id_period = 1 and id_coord < 400),
-edges as (select a.k a, b.k b from cells a join cells b on a.v = b.v and abs(a.r - b.r) <= 1 and abs(a.c - b.c) <= 1),
-reach(k, l) as (select k, k from cells union select e.b, reach.l from reach join edges e on e.a = reach.k),
-lab as (select cells.*, m.l from cells join (select k, min(l) l from reach group by 1) m using (k))
-select v "value", cast(count(*) as integer) patch_count, round(avg(n), 6) patch_area_mean, round(case when count(*) > 1 then var_samp(n) end, 6) patch_area_variance, round(avg(case when n <= 1 or a + b <= 0 then 0 else 1 - sqrt(greatest(0, (a + b) / 2 - sqrt(greatest(0, (a - b) * (a - b) / 4 + d * d))) / ((a + b) / 2 + sqrt(greatest(0, (a - b) * (a - b) / 4 + d * d)))) end), 6) patch_elongation_mean
-from (select v, n, rr / n - (r / n) * (r / n) a, cc / n - (c / n) * (c / n) b, rc / n - (r / n) * (c / n) d from (select v, l, cast(count(*) as double) n, sum(cast(r as double)) r, sum(cast(c as double)) c, sum(cast(r * r as double)) rr, sum(cast(c * c as double)) cc, sum(cast(r * c as double)) rc from lab group by v, l)) group by v"""
-).replace("with coords", "with recursive coords", 1)
+#: Of cells (r, c, v, k: number) the component of each (l: its smallest number), by labels that sink along all
+#: edges until none sinks further, and statistics of the components as a12 has them.
+LABELS = """edges as materialized (select a.k a, b.k b from cells a join (select cells.*, i, j from cells, (select unnest([-1, 0, 1]) i), (select unnest([-1, 0, 1]) j)) b on a.v = b.v and a.r = b.r + b.i and a.c = b.c + b.j),
+sink(k, l, step, moved) as (select k, k, 0, true from cells
+  union all select k, n, step + 1, bool_or(n < l) over () from (select s.k, s.l, min(t.l) n, s.step from sink s join edges e on e.a = s.k join sink t on t.k = e.b where s.moved group by s.k, s.l, s.step)),
+lab as (select cells.*, m.l from cells join (select k, min(l) l from sink group by 1) m using (k)),
+parts as (select v, l, n, case when n <= 1 or a + b <= 0 then 0 else 1 - sqrt(greatest(0, (a + b) / 2 - sqrt(greatest(0, (a - b) * (a - b) / 4 + d * d))) / ((a + b) / 2 + sqrt(greatest(0, (a - b) * (a - b) / 4 + d * d)))) end e
+  from (select v, l, n, rr / n - (r / n) * (r / n) a, cc / n - (c / n) * (c / n) b, rc / n - (r / n) * (c / n) d from (select v, l, cast(count(*) as double) n, sum(cast(r as double)) r, sum(cast(c as double)) c, sum(cast(r * r as double)) rr, sum(cast(c * c as double)) cc, sum(cast(r * c as double)) rc from lab group by v, l)))"""
 
 
-@query(
-    "r2_fuzzy_cells",
-    """, m as (select c."row" r, c.col c, a.id_lulc va, b.id_lulc vb from coords c left join (select * from lulc where id_period = 1) a using (id_coord) left join (select * from lulc where id_period = 2) b using (id_coord)),
-o as (select x.i, y.j, exp(-sqrt(cast(x.i * x.i + y.j * y.j as double)) / 2) w from range(-1, 2) x(i), range(-1, 2) y(j)),
-e as (select max(r) mr, max(c) mc from m),
-n as (select m.r, m.c, m.va own_a, m.vb own_b, o.w, s.va, s.vb from m, o, e, m s where s.r = greatest(0, least(e.mr, m.r + o.i)) and s.c = greatest(0, least(e.mc, m.c + o.j))),
-f as (select r, c, any_value(own_a) own_a, any_value(own_b) own_b, cat, sum(case when va = cat then w else 0 end) / sum(w) fa, sum(case when vb = cat then w else 0 end) / sum(w) fb, bool_or(va is null or vb is null) gap from n, (select unnest([1, 2, 3, 4]) cat) group by r, c, cat)
-select r "row", c col, round(case when not bool_or(gap) then sum(least(fa, fb)) end, 8) sim_a from f group by 1, 2""",
+def recursive(text: str) -> str:
+    return sql(text).replace("with coords", "with recursive coords", 1)
+
+
+ORACLE_SQL["a12_class_stats"] = recursive(
+    f""", cells as materialized (select "row" r, col c, id_lulc v, id_coord k from lulc join coords using (id_coord) where id_period = 1),
+{LABELS}
+select v "value", cast(count(*) as integer) patch_count, round(avg(n), 6) patch_area_mean, round(case when count(*) > 1 then var_samp(n) end, 6) patch_area_variance, round(avg(e), 6) patch_elongation_mean from parts group by v"""
 )
-def _(p: Panel) -> DataFrame:
+
+
+#: Similarities of two maps m (r, c, va, vb; null: no class) both ways at window W, by cell.
+SIMILARITY = """e as (select max(r) mr, max(c) mc from m),
+o as (select x.i, y.j, exp(-sqrt(cast(x.i * x.i + y.j * y.j as double)) / 2) w from range(-{h}, {h} + 1) x(i), range(-{h}, {h} + 1) y(j)),
+seen as (select m.r, m.c, o.w, s.va, s.vb from m, o, e, m s where s.r = greatest(0, least(e.mr, m.r + o.i)) and s.c = greatest(0, least(e.mc, m.c + o.j))),
+cats as (select distinct unnest([va, vb]) cat from m),
+f as (select r, c, cat, sum(case when va = cat then w else 0 end) / sum(w) fa, sum(case when vb = cat then w else 0 end) / sum(w) fb, bool_or(va is null or vb is null) gap from seen, cats where cat is not null group by r, c, cat),
+s as (select r, c, case when not bool_or(gap) then sum(least(fa, fb)) end s from f group by 1, 2),
+both_ways as (select m.r, m.c, case when m.va is not null then s end sim_a, case when m.vb is not null then s end sim_b from m join s using (r, c))"""
+_TWO = """, m as (select c."row" r, c.col c, a.id_lulc va, b.id_lulc vb from coords c left join (select * from lulc where id_period = 1) a using (id_coord) left join (select * from lulc where id_period = 2) b using (id_coord)),
+"""
+
+
+def _two_with_gaps(p: Panel) -> tuple[DataFrame, int]:
     d = p.coords.select("id_coord", "row", "col")
     for name, period in (("a", 1), ("b", 2)):
         d = d.join(p.lulc.where(F.col("id_period") == period).select("id_coord", F.col("id_lulc").alias(name)), "id_coord", "left")
-    n_rows = (p.coords.agg(F.max("row")).first()[0] or 0) + 1
-    return validate.similarity_cells(d, n_rows, COLS, window=3, tile=16).select("row", "col", r8("sim_a").alias("sim_a"))
+    return d, p.n_rows
+
+
+@query("r2_fuzzy_cells", _TWO + SIMILARITY.format(h=1) + ' select r "row", c col, round(sim_a, 8) sim_a, round(sim_b, 8) sim_b from both_ways')
+def _(p: Panel) -> DataFrame:
+    d, n_rows = _two_with_gaps(p)
+    return validate.similarity_cells(d, n_rows, COLS, window=3, tile=16).select("row", "col", *[r8(c).alias(c) for c in ("sim_a", "sim_b")])
+
+
+@query("r2_fuzzy_similarity", _TWO + SIMILARITY.format(h=5) + " select round(avg(sim_a), 8) mean_a, round(avg(sim_b), 8) mean_b, round(least(avg(sim_a), avg(sim_b)), 8) similarity from both_ways")
+def _(p: Panel) -> DataFrame:
+    """At the default window; gaps don't count."""
+    d, n_rows = _two_with_gaps(p)
+    return validate.fuzzy_similarity(d.where("a is not null or b is not null"), n_rows, COLS, tile=16).select(*[r8(c).alias(c) for c in ("mean_a", "mean_b", "similarity")])
+
+
+@query("r2_gaps_that_count", _TWO + SIMILARITY.format(h=1) + " select case when count(sim_a) = count(*) then avg(sim_a) end mean_a, case when count(sim_b) = count(*) then avg(sim_b) end mean_b from both_ways")
+def _(p: Panel) -> DataFrame:
+    d, n_rows = _two_with_gaps(p)
+    return validate.fuzzy_similarity(d, n_rows, COLS, window=3, ignore_na=False).select("mean_a", "mean_b")
 
 
 @query("r4_weight_matrix", "select cast(x.i as integer) \"row\", cast(y.j as integer) col, round(exp(-sqrt(cast((x.i - 5) * (x.i - 5) + (y.j - 5) * (y.j - 5) as double)) / 2), 8) weight from range(11) x(i), range(11) y(j)", panel=False)
@@ -432,10 +480,9 @@ def _(p: Panel) -> DataFrame:
     return p.spark.createDataFrame([(i, j, float(np.round(w[i, j], 8))) for i in range(11) for j in range(11)], "row int, col int, weight double")
 
 
-@query("r5_rook_neighbors", "select cast(i + 1 as integer) cell, cast(case when i // 50 > 0 then i + 1 - 50 else 0 end as integer) \"up\", cast(case when i // 50 < 39 then i + 1 + 50 else 0 end as integer) down, cast(case when i % 50 > 0 then i else 0 end as integer) \"left\", cast(case when i % 50 < 49 then i + 2 else 0 end as integer) \"right\" from range(2000) t(i)", panel=False)
+@query("r5_rook_neighbors", ', e as (select max("row") last from coords) select cast(id_coord + 1 as integer) cell, cast(case when "row" > 0 then id_coord + 1 - 50 else 0 end as integer) "up", cast(case when "row" < last then id_coord + 1 + 50 else 0 end as integer) down, cast(case when col > 0 then id_coord else 0 end as integer) "left", cast(case when col < 49 then id_coord + 2 else 0 end as integer) "right" from coords, e')
 def _(p: Panel) -> DataFrame:
-    cells = p.spark.range(1, 2001).select(F.col("id").cast("int").alias("cell"))
-    return allocate.rook_table(cells, 40, 50)
+    return allocate.rook_table(p.coords.select((F.col("id_coord") + 1).alias("cell")), p.n_rows, COLS)
 
 
 @query(
@@ -448,10 +495,10 @@ def _(p: Panel) -> DataFrame:
     return allocate.multinomial_states(pot, u)
 
 
-@query("a16_ensemble", "with s as (select cast(l_suppkey as integer) id_run, cast(l_partkey % 300 as integer) id_coord, cast(l_linenumber % 4 + 1 as integer) id_lulc from lineitem), n as (select id_coord, id_lulc, count(*) n from s group by 1, 2), m as (select id_coord, id_lulc mode_lulc, sum(n) over (partition by id_coord) n_runs, row_number() over (partition by id_coord order by n desc, id_lulc) rn from n) select m.id_coord, cast(m.id_coord % 4 + 1 as integer) first_lulc, cast(n_runs as bigint) n_runs, cast(c.n as bigint) n_changed, round(cast(c.n as double) / n_runs, 8) p_changed, mode_lulc from m join (select id_coord, count(*) filter (where id_lulc <> id_coord % 4 + 1) n from s group by 1) c using (id_coord) where rn = 1", panel=False)
+@query("a16_ensemble", "with s as (select cast(l_suppkey as integer) id_run, cast(l_partkey as integer) id_coord, cast(l_linenumber % 4 + 1 as integer) id_lulc from lineitem), n as (select id_coord, id_lulc, count(*) n from s group by 1, 2), m as (select id_coord, id_lulc mode_lulc, sum(n) over (partition by id_coord) n_runs, row_number() over (partition by id_coord order by n desc, id_lulc) rn from n) select m.id_coord, cast(m.id_coord % 4 + 1 as integer) first_lulc, cast(n_runs as bigint) n_runs, cast(c.n as bigint) n_changed, round(cast(c.n as double) / n_runs, 8) p_changed, mode_lulc from m join (select id_coord, count(*) filter (where id_lulc <> id_coord % 4 + 1) n from s group by 1) c using (id_coord) where rn = 1", panel=False)
 def _(p: Panel) -> DataFrame:
-    s = p.table("lineitem").select(F.col("l_suppkey").cast("int").alias("id_run"), (F.col("l_partkey") % 300).cast("int").alias("id_coord"), (F.col("l_linenumber") % 4 + 1).cast("int").alias("id_lulc"))
-    first = p.spark.range(300).select(F.col("id").cast("int").alias("id_coord"), (F.col("id") % 4 + 1).cast("int").alias("id_lulc"))
+    s = p.table("lineitem").select(F.col("l_suppkey").cast("int").alias("id_run"), F.col("l_partkey").cast("int").alias("id_coord"), (F.col("l_linenumber") % 4 + 1).cast("int").alias("id_lulc"))
+    first = p.coords.select("id_coord", (F.col("id_coord") % 4 + 1).alias("id_lulc"))
     return validate.ensemble_summary(s, first).withColumn("p_changed", r8("p_changed"))
 
 
@@ -541,9 +588,10 @@ def _(p: Panel) -> DataFrame:
     return raster.tabular_to_raster(p.lulc.where("id_period in (1, 2)"), p.coords, "id_lulc", 100)
 
 
-@query("s26_summary", "select count(*) n_rows, count(distinct id_coord) n_coords, min(id_period) first_period, max(id_period) last_period, count(distinct id_lulc) n_lulc from lulc")
+@query("s26_summary", """select n_rows, "column", n_distinct, "min", "max" from (select count(*) n_rows, unnest(['id_coord', 'id_period', 'id_lulc']) "column", unnest([count(distinct id_coord), count(distinct id_period), count(distinct id_lulc)]) n_distinct,
+ unnest([cast(min(id_coord) as varchar), cast(min(id_period) as varchar), cast(min(id_lulc) as varchar)]) "min", unnest([cast(max(id_coord) as varchar), cast(max(id_period) as varchar), cast(max(id_lulc) as varchar)]) "max" from lulc)""")
 def _(p: Panel) -> DataFrame:
-    return p.lulc.agg(F.count("*").alias("n_rows"), F.count_distinct("id_coord").alias("n_coords"), F.min("id_period").alias("first_period"), F.max("id_period").alias("last_period"), F.count_distinct("id_lulc").alias("n_lulc"))
+    return summarise(p.lulc.select("id_coord", "id_period", "id_lulc"))
 
 
 @query("w2_observed_before_last", "select id_period from periods where not is_extrapolated and id_period < 5")

@@ -57,6 +57,11 @@ class Panel:
         row, col = F.floor(k / COLS).cast("int"), (k % COLS).cast("int")
         return self.table("part").select(k.cast("int").alias("id_coord"), (col * 100 + 50).cast("double").alias("lon"), (-(row * 100 + 50)).cast("double").alias("lat"), row.alias("row"), col.alias("col"))
 
+    @property
+    def n_rows(self) -> int:
+        """Rows of the grid."""
+        return (self.coords.agg(F.max("row")).first()[0] or 0) + 1
+
     @property
     def lulc(self) -> DataFrame:
         sold = self.table("lineitem").groupBy(F.col("l_partkey").cast("int").alias("id_coord"), (F.year("l_shipdate") - 1994).alias("id_period"))

@@ -10,15 +10,19 @@ No plan overwrites what it reads: rewritten tables and partitions are staged and
 
 from __future__ import annotations
 
+import functools
 import json
 import uuid
 import warnings
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import scalar
+from .folders import settle_at
+
 _SIDECAR = "_attributes.json"
 
 
@@ -31,6 +35,9 @@ class ReadOnly(PermissionError):
 
 
 class ParquetStore:
+    #: Files have so many rows at most (0: any number).
+    rows_per_file = 0
+
     def __init__(self, spark: SparkSession, path: str, read_only: bool = False):
         self.spark, self.path, self.read_only = spark, path.rstrip("/"), read_only
         self._fs_path = spark._jvm.org.apache.hadoop.fs.Path
@@ -58,14 +65,31 @@ class ParquetStore:
         names = (s.getPath().getName() for s in self._fs.listStatus(self._at(self.path)))
         return sorted(n.removesuffix(".parquet") for n in names if n.endswith(".parquet"))
 
-    def _swap(self, staged: str, target: str) -> None:
-        """Moves a staged folder to where another may be; the old one stays until the new is there."""
-        old = f"{target}.old-{uuid.uuid4().hex[:8]}"
-        if self._fs.exists(self._at(target)):
-            self._fs.rename(self._at(target), self._at(old))
+    def _move(self, source: str, target: str) -> None:
+        """Renames a folder; OSError where the file system says that it didn't."""
         self._fs.mkdirs(self._at(target).getParent())
-        self._fs.rename(self._at(staged), self._at(target))
-        self._fs.delete(self._at(old), True)
+        if not self._fs.rename(self._at(source), self._at(target)):
+            raise OSError(f"{source} can't be moved to {target}")
+
+    def _swap(self, moves: Sequence[tuple[str | None, str]]) -> None:
+        """Puts staged folders (None: nothing) to where others may be. If one can't be moved, all are put
+        back as they were; only then, or when all are in place, do old ones go."""
+        away = f"{self.path}/.old-{uuid.uuid4().hex[:12]}"
+        done: list[tuple[str, str]] = []
+        try:
+            for i, (staged, target) in enumerate(moves):
+                if self._fs.exists(self._at(target)):
+                    self._move(target, f"{away}/{i}")
+                    done.append((target, f"{away}/{i}"))
+                if staged is not None:
+                    self._move(staged, target)
+                    done.append((staged, target))
+        except BaseException:
+            for source, target in reversed(done):
+                self._move(target, source)
+            self._fs.delete(self._at(away), True)
+            raise
+        self._fs.delete(self._at(away), True)
 
     def drop(self, name: str) -> None:
         self._fs.delete(self._at(self.table_path(name)), True)
@@ -120,15 +144,24 @@ class ParquetStore:
             reader = reader.schema(T.StructType.fromJson(json.loads(schema)))
         return reader.parquet(self.table_path(name))
 
-    def fetch(self, name: str, cols: Sequence[str] | None = None, where: str | None = None, limit: int | None = None) -> DataFrame:
-        """Columns by name, filtered, limited."""
-        df = self.read(name)
+    def fetch(self, name: str, cols: Sequence[str] | None = None, where: str | None = None, limit: int | None = None, in_order: bool = False) -> DataFrame:
+        """Columns by name, filtered, limited; ``in_order``: of its keys, for presentation (by all columns if it has none)."""
+        return self._fetched(self.read(name), name, cols, where, limit, in_order)
+
+    def _fetched(self, df: DataFrame, name: str, cols: Sequence[str] | None, where: str | None, limit: int | None, in_order: bool) -> DataFrame:
         if where is not None:
             df = df.where(where)
+        if in_order:
+            df = df.orderBy(*[F.col(f"`{c}`").asc_nulls_last() for c in self.metadata(name).get("keys") or df.columns])
         if cols is not None:
             df = df.select(*[F.col(f"`{c}`") for c in cols])
         return df if limit is None else df.limit(limit)
 
+    def rows(self, name: str, **fetched) -> list[dict[str, object]]:
+        """What :meth:`fetch` gives, as dictionaries; the values of map columns in the types that their strings stand for."""
+        maps = set(self.metadata(name).get("maps") or [])
+        return [{k: scalar.typed_map(v) if k in maps else v for k, v in r.asDict().items()} for r in self.fetch(name, **fetched).collect()]
+
     def row_count(self, name: str) -> int:
         return self.read(name).count() if self.exists(name) else 0
 
@@ -152,11 +185,13 @@ class ParquetStore:
         if self.read_only and not allowed:
             raise ReadOnly(f"{self.path} was opened for reading")
 
-    def _frame(self, x: DataFrame | str) -> DataFrame:
-        return self.spark.table(x) if isinstance(x, str) else x
+    def _frame(self, x: DataFrame | str, maps: Sequence[str] = ()) -> DataFrame:
+        """A frame or the view of that name; columns that are to be maps as maps of strings, whatever holds their pairs."""
+        df = self.spark.table(x) if isinstance(x, str) else x
+        return df.withColumns({c: scalar.string_map(F.col(c), df.schema[c].dataType) for c in maps if c in df.columns})
 
     def _write(self, df: DataFrame, folder: str, attributes: dict[str, object], mode: str = "error") -> None:
-        w = df.write.mode(mode).option("compression", "zstd")
+        w = df.write.mode(mode).option("compression", "zstd").option("maxRecordsPerFile", self.rows_per_file)
         if attributes.get("partitions"):
             w = w.partitionBy(*attributes["partitions"])
         w.parquet(folder)
@@ -167,14 +202,16 @@ class ParquetStore:
             if cols and df.groupBy(*cols).count().filter("count > 1").limit(1).count():
                 raise KeyConflict(f"{name}: duplicate {cols}")
 
-    def commit(self, x: DataFrame | str, name: str, method: str = "overwrite", *, quiet: bool = False, **attributes) -> int:
+    def commit(self, x: DataFrame | str, name: str, method: str = "overwrite", *, quiet: bool = False, settled: bool = False, **attributes) -> int:
         """Writes rows; how many the table (overwrite), the addition (append) or the touched
         partitions (upsert) then have.
 
         Attributes: ``keys``, ``alternate``, ``partitions``, ``maps``, and any atomic values.
-        A first write is an overwrite; an upsert without keys is an append.
+        A first write is an overwrite; an upsert without keys is an append. Rows are computed once: an
+        upsert, which reads them several times, settles them first, unless they are ``settled``.
         """
-        df = self._frame(x)
+        held = self.metadata(name) if self.exists(name) else {}
+        df = self._frame(x, held.get("maps") or attributes.get("maps") or ())
         if method not in ("overwrite", "append", "upsert"):
             raise ValueError(f"unknown method {method}")
         exists = self.exists(name)
@@ -192,7 +229,7 @@ class ParquetStore:
             return self._overwrite(df, name, attributes)
         if method == "append":
             return self._append(df, name, attributes)
-        return self._upsert(df, name, attributes, keys, parts)
+        return (self._merge if settled else self._upsert)(df, name, attributes, keys, parts)
 
     def _overwrite(self, df: DataFrame, name: str, attributes: dict[str, object]) -> int:
         staged = f"{self.path}/.staged-{uuid.uuid4().hex[:12]}"
@@ -202,7 +239,7 @@ class ParquetStore:
         try:
             self._write(df, staged, attributes)
             self._put_metadata(staged, attributes)
-            self._swap(staged, self.table_path(name))
+            self._swap([(staged, self.table_path(name))])
         finally:
             self._fs.delete(self._at(staged), True)
         return self.row_count(name)
@@ -229,6 +266,13 @@ class ParquetStore:
         return n
 
     def _upsert(self, new: DataFrame, name: str, attributes: dict[str, object], keys: list[str], parts: list[str]) -> int:
+        new, settled = settle_at(new, "upsert")
+        try:
+            return self._merge(new, name, attributes, keys, parts)
+        finally:
+            self._fs.delete(self._at(settled), True)
+
+    def _merge(self, new: DataFrame, name: str, attributes: dict[str, object], keys: list[str], parts: list[str]) -> int:
         missing = [k for k in keys if k not in new.columns]
         if missing:
             raise ValueError(f"rows for {name} lack the keys {missing}")
@@ -253,32 +297,52 @@ class ParquetStore:
                 alt = attributes.get("alternate")
                 if alt and others.join(result.select(*alt), alt, "left_semi").limit(1).count():
                     raise KeyConflict(f"{name}: duplicate {alt}")
-                self._move_partitions(staged, name, len(parts))
+                self._swap([(f"{staged}/{leaf}", f"{self.table_path(name)}/{leaf}") for leaf in self._leaves(staged, len(parts))])
             else:
                 self._put_metadata(staged, attributes)
-                self._swap(staged, self.table_path(name))
+                self._swap([(staged, self.table_path(name))])
         finally:
             self._fs.delete(self._at(staged), True)
         self._put_metadata(self.table_path(name), attributes | {"schema": schema.json()})
         return n
 
-    def _move_partitions(self, staged: str, name: str, depth: int) -> None:
-        def leaves(at: str, left: int) -> list[str]:
-            if not left:
-                return [at]
-            below = (s.getPath().getName() for s in self._fs.listStatus(self._at(f"{staged}/{at}")) if s.isDirectory())
-            return [x for n in below for x in leaves(f"{at}/{n}" if at else n, left - 1)]
-
-        for leaf in leaves("", depth):
-            self._swap(f"{staged}/{leaf}", f"{self.table_path(name)}/{leaf}")
+    def _leaves(self, folder: str, depth: int, at: str = "") -> list[str]:
+        """The partitions of a written table, by their paths."""
+        if not depth:
+            return [at]
+        below = (s.getPath().getName() for s in self._fs.listStatus(self._at(f"{folder}/{at}" if at else folder)) if s.isDirectory())
+        return [x for n in below for x in self._leaves(folder, depth - 1, f"{at}/{n}" if at else n)]
 
     def delete_from(self, name: str, where: str | None = None) -> int:
-        """Removes rows, or without ``where`` the table; how many. A row whose condition is null goes as well."""
+        """Removes rows, or without ``where`` the table; how many. A row whose condition is null goes as well.
+        Of a partitioned table only the partitions that lose rows are rewritten."""
         self._writable()
-        before = self.row_count(name)
         if not self.exists(name):
             return 0
         if where is None:
+            before = self.row_count(name)
             self.drop(name)
             return before
-        return before - self._overwrite(self.read(name).where(f"not ({where})"), name, {k: v for k, v in self.metadata(name).items() if k != "schema"})
+        attributes, goes = self.metadata(name), ~F.coalesce(F.expr(f"not ({where})"), F.lit(False))
+        parts = attributes.get("partitions") or []
+        df = self.read(name)
+        lost = df.where(goes).groupBy(*parts).agg(F.count("*").alias("n"), F.lit(1).alias("some")).collect()
+        n = sum(r["n"] for r in lost)
+        if not n:
+            return 0
+        if not parts:
+            self._overwrite(df.where(~goes), name, {k: v for k, v in attributes.items() if k != "schema"})
+            return n
+        touched = self.spark.createDataFrame([tuple(r[p] for p in parts) for r in lost], T.StructType([df.schema[p] for p in parts]))
+        same = functools.reduce(Column.__and__, [df[p].eqNullSafe(touched[p]) for p in parts])
+        staged = f"{self.path}/.staged-{uuid.uuid4().hex[:12]}"
+        path_of = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
+        try:
+            self._write(df.join(F.broadcast(touched), same, "left_semi").where(~goes), staged, attributes)
+            kept = set(self._leaves(staged, len(parts)))
+            text = touched.select(*[F.col(p).cast("string") for p in parts]).collect()
+            leaves = ["/".join(path_of(p, r[p]) for p in parts) for r in text]
+            self._swap([(f"{staged}/{leaf}" if leaf in kept else None, f"{self.table_path(name)}/{leaf}") for leaf in leaves])
+        finally:
+            self._fs.delete(self._at(staged), True)
+        return n

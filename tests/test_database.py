@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from landweave.operators import build, models
 from landweave.operators.transitions import transition_meta
-from landweave.plans.database import LandDatabase, fill_script, run_parallel
+from landweave.plans.database import LandDatabase, run_parallel
 from landweave.schemas import TABLES
 from landweave.streaming.ingest import ingest
 
@@ -107,9 +109,41 @@ def test_evaluation(db):
     db.id_run = 0
 
 
-def test_parallel_and_scripts(db):
+def test_transitions_without_data_are_skipped(db):
+    db.id_run = 1
+    held = db.read("lulc_data_t").where("id_period = 3").select("id_coord").limit(20)
+    db.put("lulc_data_t", held.select(F.lit(1).alias("id_run"), "id_coord", F.lit(1).alias("id_lulc"), F.lit(6).alias("id_period")))
+    with pytest.warns(UserWarning, match="no data for transition 2 in period 7"):
+        assert db.predict_trans_pot(7, "classif.acc") > 0
+    assert {r[0] for r in db.read("trans_pot_t").where("id_period_post = 7").select("id_trans").distinct().collect()} == {1}
+    with pytest.warns(UserWarning, match="no data"):
+        assert db.predict_trans_pot(9, "classif.acc") == 0
+    db.id_run = 0
+
+
+def test_external_allocator(db, tmp_path):
+    """A console that finds its inputs and leaves a map in which one cell changed."""
+    tool = tmp_path / "tool"
+    tool.write_text(f"""#!{sys.executable}
+import os, sys
+import pyarrow.parquet as pq
+assert "eCA8LSAx" in open(sys.argv[-1]).read() and os.path.exists("trans_rates.csv") and os.path.exists("probability")
+t = pq.read_table("anterior").to_pandas()
+t.loc[0, "value"] = 3
+os.mkdir("posterior")
+t.to_parquet("posterior/part-0.parquet")
+print("done")
+""")
+    tool.chmod(0o755)
+    db.id_run = 2
+    db.alloc_external([4], "classif.acc", str(tmp_path / "work"), script='a := CalculateRExpression "x <- 1" .no {{ }};', binary=str(tool))
+    after = db.read("lulc_data_t").where("id_run = 2 and id_period = 4")
+    assert after.count() == N * N and after.where("id_lulc = 3").count() == 1
+    db.id_run = 0
+
+
+def test_parallel(db):
     assert run_parallel([1, 2], lambda t, d: d.fetch("trans_meta_t", where=f"id_trans = {t}").count(), db) == [1, 1]
-    assert fill_script("a {x} {y}", {"x": 1, "y": "z"}) == "a 1 z"
 
 
 def test_stream(db, spark, tmp_path):
@@ -120,3 +154,17 @@ def test_stream(db, spark, tmp_path):
     ingest(db, stream, "lulc_data_t", str(tmp_path / "cp")).awaitTermination(120)
     assert {r[0] for r in db.read("lulc_data_t").where("id_period = 9").select("id_lulc").collect()} == {3}
     assert db.read("lulc_data_t").where("id_period = 9").count() == 5
+
+
+def test_models_of_several_runs(db):
+    """Predictors of a run of its own: its models see its rows."""
+    db.id_run = 2
+    db.put("trans_preds_t", db.trans_preds_t.where("id_run = 0").unionByName(db.spark.createDataFrame([(2, 1, 1)], TABLES["trans_preds_t"].schema)))
+    training, features = db._training()
+    assert {r[0] for r in training.select("id_run").distinct().collect()} == {2}
+    db.id_run = 0
+    fitted = db.fit_partial_models(models.Featureless(), trans_meta=db.trans_meta_t.where("id_trans = 1"))
+    assert fitted.where("id_trans = 1").count() >= 1
+    assert features[1][0] == "id_pred_1" and db.get_crossval_predictions().select("id_trans").distinct().count() == 2
+    with pytest.raises(ValueError, match="no viable"):
+        db.fit_partial_models(models.Featureless(), trans_preds=db.trans_preds_t.where("false"))

@@ -99,3 +99,77 @@ def test_read_only(store, five, spark):
 def test_sql(store, five, rows):
     store.commit(five, "t")
     assert rows(store.query("select count(*) from t")) == [(5,)]
+
+
+class _NoMoves:
+    """A file system on which the move to a folder whose name ends so fails, quietly or loudly."""
+
+    def __init__(self, fs, ending, loud=False):
+        self._fs, self._ending, self._loud = fs, ending, loud
+
+    def __getattr__(self, name):
+        return getattr(self._fs, name)
+
+    def rename(self, a, b):
+        if b.getName().endswith(self._ending) and ".staged" in a.toString():
+            if self._loud:
+                raise OSError("no")
+            return False
+        return self._fs.rename(a, b)
+
+
+@pytest.mark.parametrize("loud", [False, True])
+def test_a_failed_move_leaves_the_table_as_it_was(store, five, spark, rows, loud):
+    store.commit(five, "t", keys=["id"])
+    store.commit(five, "p", keys=["id"], partitions=["name"])
+    before = rows(store.read("t"))
+    changed = spark.createDataFrame([(1, "a", 0.0), (2, "b", 0.0)], "id int, name string, value double")
+    tries = [("t", lambda: store.commit(changed, "t", "upsert")), ("t", lambda: store.commit(changed, "t")), ("t", lambda: store.delete_from("t", "value > 20 and value < 21")), ("p", lambda: store.commit(changed, "p", "upsert"))]
+    for name, change in tries:
+        real, store._fs = store._fs, _NoMoves(store._fs, {"t": "t.parquet", "p": "name=b"}[name], loud)
+        with pytest.raises(OSError):
+            change()
+        store._fs = real
+        assert rows(store.read(name).select("id", "name", "value")) == before
+    assert store.list_tables() == ["p", "t"] and not [s for s in store._fs.listStatus(store._at(store.path)) if s.getPath().getName().startswith(".")]
+
+
+def test_an_upsert_computes_its_rows_once(store, five, spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(parts):
+        for pdf in parts:
+            seen.add(len(pdf))
+            yield pdf
+
+    store.commit(five, "t", keys=["id"], partitions=["name"])
+    store.commit(five.mapInPandas(count, five.schema), "t", "upsert")
+    assert seen.value == 5
+
+
+def test_delete_rewrites_only_partitions_that_lose_rows(store, spark, rows):
+    d = spark.createDataFrame([(i, g, float(i)) for i, g in enumerate(["A", "A", "B", "B", None, "C/x"])], "id int, grp string, value double")
+    store.commit(d, "t", keys=["id"], partitions=["grp"])
+    files = lambda: {(f.getPath().getParent().getName(), f.getPath().getName()) for leaf in store._leaves(store.table_path("t"), 1) for f in store._fs.listStatus(store._at(f"{store.table_path('t')}/{leaf}"))}
+    before = files()
+    assert store.delete_from("t", "id in (0, 4, 5)") == 3
+    assert rows(store.fetch("t", ["id", "grp"])) == [(1, "A"), (2, "B"), (3, "B")]
+    assert {f for f in before if f[0] == "grp=B"} <= files() and {f[0] for f in files()} == {"grp=A", "grp=B"}
+    assert store.delete_from("t", "id > 100") == 0
+
+
+def test_maps(store, spark, rows):
+    given = spark.createDataFrame([(1, (3, True, None))], "id int, params struct<level: int, on: boolean, note: string>")
+    store.commit(given, "t", keys=["id"], maps=["params"])
+    store.commit(spark.createDataFrame([(2, {"share": 0.5})], "id int, params map<string,double>"), "t", "upsert")
+    store.commit(spark.createDataFrame([(3, [("a", "x"), ("b", "7")]), (4, None)], "id int, params array<struct<k: string, v: string>>"), "t", "upsert")
+    assert dict(store.read("t").dtypes)["params"] == "map<string,string>"
+    assert [(r["id"], r["params"]) for r in store.rows("t", in_order=True)] == [(1, {"level": 3, "on": True, "note": None}), (2, {"share": 0.5}), (3, {"a": "x", "b": 7}), (4, None)]
+    with pytest.raises(TypeError):
+        store.commit(spark.createDataFrame([(1, 2)], "id int, params int"), "u", maps=["params"])
+
+
+def test_in_order_and_views(store, five):
+    five.orderBy("value", ascending=False).createOrReplaceTempView("five_rows")
+    store.commit("five_rows", "t", keys=["id"])
+    assert [r["id"] for r in store.fetch("t", limit=3, in_order=True).collect()] == [1, 2, 3]
