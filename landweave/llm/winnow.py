@@ -97,6 +97,9 @@ def fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame
 
 
 def matches(prints: DataFrame) -> DataFrame:
-    """Fingerprints that two documents or more share: fingerprint and the sorted list of doc_ids."""
-    each = prints.select("doc_id", F.explode(F.array_distinct("fingerprints")).alias("fingerprint")).filter("doc_id is not null")
-    return each.groupBy("fingerprint").agg(F.sort_array(F.collect_set("doc_id")).alias("doc_ids")).filter(F.size("doc_ids") > 1)
+    """(first_doc_id, doc_id, fingerprint): every document with each fingerprint that it shares, and the
+    smallest doc_id that has it. A fingerprint of any number of documents is so many rows, never one list;
+    null doc_ids are left out."""
+    each = prints.select("doc_id", F.explode(F.array_distinct("fingerprints")).alias("fingerprint")).filter("doc_id is not null").distinct()
+    shared = each.groupBy("fingerprint").agg(F.min("doc_id").alias("first_doc_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return each.join(shared, "fingerprint").filter("doc_id <> first_doc_id").select("first_doc_id", "doc_id", "fingerprint")

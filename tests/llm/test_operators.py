@@ -468,8 +468,11 @@ def test_shared_passages_are_guaranteed(docs, prose):
     for i in range(20):
         shared = " ".join(prose(n, 1000 + i).replace("\n", " ").split()[:n])
         texts += [(2 * i, f"{prose(30 + i, i)} {shared} {prose(40, 50 + i)}"), (2 * i + 1, f"{prose(11, 100 + i)} {shared}")]
-    pairs = {tuple(r["doc_ids"]) for r in winnow.matches(winnow.fingerprints(docs(texts))).collect()}
+    pairs = {(r["first_doc_id"], r["doc_id"]) for r in winnow.matches(winnow.fingerprints(docs(texts))).collect()}
     assert pairs == {(2 * i, 2 * i + 1) for i in range(20)}
+    boiler = prose(n, 5)
+    many = winnow.matches(winnow.fingerprints(docs([(i, f"{boiler}\n{prose(60, i)}") for i in range(7)] + [(None, boiler), (3, boiler)])))
+    assert {(r[0], r[1]) for r in many.collect()} == {(0, i) for i in range(1, 7)}
     assert winnow.fingerprints(docs([])).count() == 0
 
 
