@@ -278,6 +278,47 @@ def fit_full(training: DataFrame, features: Features, chosen: DataFrame | None =
     return training.groupBy("id_run", "id_trans").cogroup(of.groupBy("id_run", "id_trans")).applyInPandas(fit, MODEL_SCHEMA)
 
 
+def fit_spread(training: DataFrame, features: Features, max_depth: int = 8, min_leaf: int = 5, n_trees: int = 1, seed: int = 0, bins: int = 64) -> DataFrame:
+    """Trees (n_trees = 1) or forests of matrices that are larger than a task: every fit is spread over the cluster
+    by pyspark.ml, one (run, transition) after another, and comes back as a :class:`Tree` or
+    :class:`Forest`. Missing values go with the smaller ones, as there."""
+    from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    rows, low = [], -1e300
+    for run, trans in sorted(tuple(r) for r in training.select("id_run", "id_trans").distinct().collect()):
+        names = _of(features, trans)
+        d = training.where((F.col("id_run") == run) & (F.col("id_trans") == trans))
+        filled = d.select(F.col("did_transition").cast("double").alias("label"), *[F.coalesce(F.nanvl(F.col(n).cast("double"), F.lit(None)), F.lit(low)).alias(n) for n in names])
+        plain = {"labelCol": "label", "featuresCol": "x", "maxDepth": max_depth, "minInstancesPerNode": min_leaf, "maxBins": bins, "seed": seed, "impurity": "gini"}
+        kind = DecisionTreeClassifier(**plain) if n_trees == 1 else RandomForestClassifier(numTrees=n_trees, **plain)
+        fitted = kind.fit(VectorAssembler(inputCols=names, outputCol="x").transform(filled).select("label", "x"))
+        trees = [_from_ml(t, len(names), max_depth, min_leaf) for t in ([fitted] if n_trees == 1 else fitted.trees)]
+        model = trees[0] if n_trees == 1 else Forest(n_trees=n_trees, max_depth=max_depth, seed=seed, trees=trees)
+        rows.append((run, trans, model.learner_id, {k: str(v) for k, v in model.params().items()}, None, {"no.crossval": "1"}, None, pickle.dumps(model)))
+    return training.sparkSession.createDataFrame(rows, MODEL_SCHEMA)
+
+
+def _from_ml(fitted, n_features: int, max_depth: int, min_leaf: int) -> Tree:
+    """A tree of pyspark.ml with its nodes in a list."""
+    tree = Tree(max_depth=max_depth, min_leaf=min_leaf, nodes=[], importance=fitted.featureImportances.toArray() if n_features else np.zeros(0))
+
+    def add(node) -> int:
+        me = len(tree.nodes)
+        stats = list(node.impurityStats().stats())
+        total = sum(stats)
+        p = stats[1] / total if len(stats) > 1 and total else 0.0
+        tree.nodes.append((-1, 0.0, p, -1, -1))
+        if node.subtreeDepth():
+            split = node.split()
+            left, right = add(node.leftChild()), add(node.rightChild())
+            tree.nodes[me] = (split.featureIndex(), split.threshold(), p, left, right)
+        return me
+
+    add(fitted._java_obj.rootNode())
+    return tree
+
+
 def predict(rows: DataFrame, features: Features, models: DataFrame) -> DataFrame:
     """Potentials in [0, 1] of ``rows`` (id_trans, id_coord and the features). Models are small and travel
     with their transition's rows, which are scored batch by batch without grouping."""

@@ -251,6 +251,11 @@ class LandDatabase(ParquetStore):
         self.put("trans_models_t", models.fit_partial(*self._training(trans_preds, trans_meta), learner, measures, sample_frac, seed))
         return self.get("trans_models_t")
 
+    def fit_spread_models(self, **options) -> DataFrame:
+        """Trees or forests on all rows, each fit spread over the cluster: for matrices larger than a task."""
+        self.put("trans_models_t", models.fit_spread(*self._training(), **options))
+        return self.get("trans_models_t")
+
     def fit_full_models(self, learner: object | None = None, select_score: str | None = None, select_maximize: bool = True) -> DataFrame:
         """Models on all rows: of a learner, or of the best stored model of each transition."""
         if (learner is None) == (select_score is None):

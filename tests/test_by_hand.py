@@ -168,6 +168,21 @@ def test_features_of_each_transition(spark):
     assert {r["id_trans"]: r["count"] for r in held} == {1: 18, 2: 18}
 
 
+@pytest.mark.parametrize("n_trees", [1, 8])
+def test_spread_fits(spark, n_trees):
+    """Fits by the cluster are as good as those of a task, and predict missing values alike."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(800, 3))
+    y = (x[:, 0] + 0.5 * (x[:, 1] > 0) > 0.2) ^ (rng.random(800) < 0.05)
+    x[rng.random((800, 3)) < 0.05] = np.nan
+    rows = [(0, 1, i, bool(y[i]), *(None if np.isnan(v) else float(v) for v in x[i])) for i in range(800)]
+    d = spark.createDataFrame(rows, "id_run int, id_trans int, id_coord int, did_transition boolean, a double, b double, c double")
+    fitted = models.fit_spread(d.where("id_coord < 500"), ["a", "b", "c"], max_depth=5, n_trees=n_trees)
+    value = {r["id_coord"]: r["value"] for r in models.predict(d.where("id_coord >= 500"), ["a", "b", "c"], fitted).collect()}
+    local = models.Tree(max_depth=5).fit(x[:500], y[:500].astype(int)).predict(x[500:])
+    assert models.auc(y[500:].astype(int), np.array([value[i] for i in range(500, 800)])) > models.auc(y[500:].astype(int), local) - 0.05
+
+
 def test_components_by_hand(spark):
     rng = random.Random(6)
     edges = [(rng.randrange(150), rng.randrange(150)) for _ in range(110)] + [(1000, i) for i in range(1001, 1200)]
