@@ -1,4 +1,14 @@
-"""From raw documents to packed sequences: quality, lines, near copies, secrets, packing."""
+"""From raw documents to packed sequences: quality, lines, near copies, secrets, packing.
+
+Each stage reads what the one before wrote, works on all of it, and passes on all columns of what it
+keeps, whatever their names; the last returns the pieces of the packed sequences with their token ids.
+
+Defined cases, through all stages: null, empty and blank texts stay (no rule accuses them, they have no lines,
+copies or secrets) and are packed as an end mark alone; texts of any length are worked on whole; rows
+with equal doc_id and text become one (line dedup), of equal texts under several doc_ids the smallest doc_id
+keeps its lines and the others go; of ties the first in the table stays; null doc_ids come after
+all others; an empty table gives an empty result. tests/llm/test_pipeline.py covers them.
+"""
 
 from __future__ import annotations
 
