@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _CONF = "spark.checkpoint.dir"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+ARROW_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,8 +81,16 @@ def stash(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Texts go to Python in batches of ARROW_BYTES at most, unless the session says otherwise: a batch is held
+    several times over, in the JVM outside its heap and in Python, by every task."""
+    if _BATCH not in spark.conf.getAll:
+        spark.conf.set(_BATCH, str(ARROW_BYTES))
+
+
 def anonymous(df: DataFrame) -> DataFrame:
-    """``df`` with its columns renamed by position: ``_in0``, ``_in1``, ..."""
+    """``df`` with its columns renamed by position: ``_in0``, ``_in1``, ... Every operator begins here."""
+    bounded_batches(df.sparkSession)
     return df.toDF(*[f"_in{i}" for i in range(len(df.columns))])
 
 
