@@ -49,13 +49,13 @@ BUCKETS = 48
 HEAD = 128
 LEAST_GROUP = 64
 CONTEXT = 2
-DIMENSIONS = 24
+DIMENSIONS = 16
 NOISE = 32
 GROUP_NOISE = 8
 ROUNDS = 2
 KEPT = 1 << 20
 ROWS = 256
-BATCH = 65536
+BATCH = 32768
 RATE = 0.05
 BLOCK = 8192
 
@@ -415,9 +415,13 @@ class Scorer:
     def __init__(self, words: Words, model: Model):
         self.words, self.model = words, model
         rows = np.r_[: words.direct, words.size : words.size + words.groups]
-        self._top = np.ascontiguousarray(model.target[rows].T), model.bias[rows]
+        self._top = self._with_bias(rows)
         self._keys, self._normalisers = np.full(KEPT, -1), np.empty(KEPT, dtype=np.float32)
 
+    def _with_bias(self, rows: np.ndarray | slice) -> np.ndarray:
+        """A column for each row: its vector, and its bias, which meets the 1 at the end of a context's vector."""
+        return np.vstack([self.model.target[rows].T, self.model.bias[rows]])
+
     def _normalise(self, code: np.ndarray, q: np.ndarray) -> np.ndarray:
         """The logarithm of the sum over all classes and groups, for distinct contexts and their vectors."""
         slot = (mix(code.view(np.uint64)) % np.uint64(KEPT)).astype(np.int64)
@@ -425,7 +429,7 @@ class Scorer:
         new = np.flatnonzero(self._keys[slot] != code)
         for i in range(0, len(new), ROWS):
             some = new[i : i + ROWS]
-            out[some] = _log_sums(q[some], *self._top)
+            out[some] = _log_sums(q[some], self._top)
         self._keys[slot[new]], self._normalisers[slot[new]] = code[new], out[new]
         return out
 
@@ -438,7 +442,8 @@ class Scorer:
         at = at[: np.count_nonzero(here < words.size)]
         if not len(at):
             return out
-        ids, q = here[at], m.vectors(x)[at]
+        ids, q = here[at], np.ones((len(at), DIMENSIONS + 1), dtype=np.float32)
+        q[:, :-1] = m.vectors(x)[at]
         code = x[CONTEXT - 1 : -1]
         for j in range(1, CONTEXT):
             code = code * (words.size + 1) + x[CONTEXT - 1 - j : -1 - j]
@@ -446,29 +451,28 @@ class Scorer:
         cut = int(np.searchsorted(ids, words.direct))
         g = (ids[cut:] - words.direct) // words.group
         top = np.concatenate([ids[:cut], words.size + g])
-        score = np.einsum("ij,ij->i", q, m.target[top]) + m.bias[top] - self._normalise(code, q[one])[which]
+        score = np.einsum("ij,ij->i", q[:, :-1], m.target[top]) + m.bias[top] - self._normalise(code, q[one])[which]
         first = _starts(g)
         for i, j in zip((cut + first).tolist(), [*(cut + first[1:]).tolist(), len(ids)]):
             begin = words.direct + int(g[i - cut]) * words.group
-            members = slice(begin, min(begin + words.group, words.size))
-            vectors, bias = m.target[members].T, m.bias[members]
+            vectors = self._with_bias(slice(begin, min(begin + words.group, words.size)))
             for k in range(i, j, ROWS):
                 some, own = slice(k, min(j, k + ROWS)), ids[k : min(j, k + ROWS)]
-                score[some] += np.einsum("ij,ij->i", q[some], m.target[own]) + m.bias[own] - _log_sums(q[some], vectors, bias)
+                score[some] += np.einsum("ij,ij->i", q[some, :-1], m.target[own]) + m.bias[own] - _log_sums(q[some], vectors)
         out[at] = score
         return out
 
 
-def _log_sums(q: np.ndarray, vectors: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    """The logarithm of the sum of exponentials of each row's scores."""
-    scores = q @ vectors
-    scores += bias
-    with np.errstate(over="ignore", divide="ignore"):
-        out = np.log(np.exp(scores).sum(axis=1))
+def _log_sums(q: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """The logarithm of the sum of exponentials of each row's products."""
+    with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
+        scores = q @ vectors
+        out = np.log(np.exp(scores, out=scores) @ np.ones(scores.shape[1], dtype=np.float32))
     far = np.flatnonzero(~np.isfinite(out))
     if len(far):  # beyond what 32 bits hold
-        high = scores[far].max(axis=1)
-        out[far] = np.log(np.exp(scores[far] - high[:, None]).sum(axis=1)) + high
+        scores = q[far] @ vectors
+        high = scores.max(axis=1)
+        out[far] = np.log(np.exp(scores - high[:, None]).sum(axis=1)) + high
     return out
 
 
