@@ -9,6 +9,7 @@ import itertools
 import pathlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from landweave.llm import beside, bloom, bpe, common, crc32c, lblm, lines, minhash, packing, quality, records, secrets, sentencepieces, warc, winnow
+from landweave.llm import beside, bloom, bpe, common, crc32c, lblm, lines, minhash, packing, quality, records, registry, secrets, sentencepieces, warc, winnow, wordhash
 from landweave.llm.wordhash import words_of
 
 ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "word"), (5, "two words"), (None, "no id here at all"), (7, "repeated row"), (7, "repeated row"), (8, "é ü 日本語 🙂 \u00a0 x")]
@@ -438,28 +439,44 @@ def test_records_round_trip(docs, prose, tmp_path):
 # 7 fingerprints
 
 
-def brute(words, k, window):
-    if len(words) < k:
-        return [0] if len(words) else []
-    runs = [int(winnow.rolling(words[i : i + k], k)[0]) for i in range(len(words) - k + 1)]
+M = (1 << 64) - 1
+
+
+def mixed(x):
+    x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & M
+    x = ((x ^ x >> 27) * 0x94D049BB133111EB) & M
+    return x ^ x >> 31
+
+
+def word_hash(word):
+    """A word's hash by its definition, byte by byte."""
+    total, power = 0, 1
+    for c in word.lower().encode():
+        total, power = (total + int(wordhash._VALUE[c]) * power) & M, power * wordhash._BASE & M
+    return mixed(total)
+
+
+def brute(text, k, window):
+    """Positions and fingerprints of every window, one after another, hashes by their definition."""
+    words = [word_hash(w) for w in re.split("[ \\t\\n\\r\\f\\v]+", text or "") if w]
+    if not words:
+        return (), ()
+    k = min(k, len(words))
+    runs = [mixed(sum(x * pow(winnow._BASE, j, 1 << 64) for j, x in enumerate(words[i : i + k])) & M) for i in range(len(words) - k + 1)]
     out = []
     for i in range(max(1, len(runs) - window + 1)):
         part = runs[i : i + window]
         at = i + max(j for j, x in enumerate(part) if x == min(part))
         if not out or out[-1] != at:
             out.append(at)
-    return out
+    return tuple(out), tuple(runs[i] - (1 << 64) if runs[i] >> 63 else runs[i] for i in out)
 
 
 @pytest.mark.parametrize(("k", "window"), [(winnow.K, winnow.WINDOW), (3, 5), (1, 7), (2, 1)])
 def test_winnowing_against_brute_force(docs, prose, k, window):
     texts = [*ODD, *((100 + i, prose(20 * i, i)) for i in range(12)), (200, "same " * 90), (201, "a b " * 60)]
-    got = {(r["doc_id"], tuple(r["positions"])) for r in winnow.fingerprints(docs(texts, extra=True), k, window).collect()}
-    want = set()
-    for i, t in texts:
-        ((_, _, words, _),) = words_of(pa.array([t], pa.string()))
-        want.add((i, tuple(brute(words, k, window))))
-    assert got == want
+    got = {(r["doc_id"], tuple(r["positions"]), tuple(r["fingerprints"])) for r in winnow.fingerprints(docs(texts, extra=True), k, window).collect()}
+    assert got == {(i, *brute(t, k, window)) for i, t in texts}
 
 
 def test_shared_passages_are_guaranteed(docs, prose):
@@ -810,12 +827,58 @@ def test_unigram_models(tmp_path):
     assert all(same) and whole.gives_back(texts, raw) == [sp.decode(sp.encode(t)) == t for t in texts]
 
 
+# the registered queries, with their production parameters
+
+
+def test_registered_queries_against_brute_force(spark, docs, prose, tmp_path):
+    rng = random.Random(21)
+    texts = [*ODD, *((100 + i, prose(60 + 13 * i % 400, i)) for i in range(40)), *((200 + i, edited(prose(60 + 13 * i % 400, i), 0.03, i)) for i in range(12))]
+    texts += [(300 + i, prose(40, 300 + i) + f'\napi_key = "{"".join(rng.choices("0123456789abcdef", k=32))}"') for i in range(5)] + [(400, "x y " * 1500)]
+    docs(texts).write.parquet(str(tmp_path / "documents.parquet"))
+    run = lambda name: registry.QUERIES[name](spark, str(tmp_path))
+    # near copies: pairs by Jaccard similarity
+    group = {(r["doc_id"]): r["group_id"] for r in run("op2_minhash_near_dedup").collect()}
+    named = [(i, t) for i, t in texts if i is not None and t and t.strip() and i != 7]
+    pairs = {(i, j) for (i, a), (j, b) in itertools.combinations(named, 2) if jaccard(a, b) >= minhash.THRESHOLD}
+    assert sum(group.get(i) is not None and group.get(i) == group.get(j) for i, j in pairs) >= 0.9 * len(pairs) and len(pairs) >= 12
+    assert set(group) <= {i for pair in pairs for i in pair} | {7}
+    # secrets: every text by the scanner alone
+    scanner = secrets.Scanner(secrets.dictionary(docs(texts)))
+    assert {(r["doc_id"], r["start"], r["end"]) for r in run("op3_secret_scans").collect()} == {(i, a, b) for i, t in texts for a, b, *_ in scanner.find(t)}
+    # packing: the naive packer
+    h = [tuple(r) for r in docs(texts).select(F.xxhash64("text"), F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(packing.STREAMS))).collect()]
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["piece"], r["length"], (r["bin_id"] >> 32, r["bin_id"] & 0xFFFFFFFF), r["offset"]) for r in run("op4_best_fit_packing").collect())
+    assert got == pack_by_hand(texts, h, packing.CAPACITY, packing.OPEN_BINS, packing.STREAMS)
+    # token records: what is in the files
+    encoder = bpe.Encoder()
+    back = [(r["doc_id"], encoder.decode(r["ids"])) for r in records.read(run("op6_token_records")).collect()]
+    assert sorted(back, key=str) == sorted(((i, t or "") for i, t in texts), key=str)
+    # fingerprints
+    assert sorted((r["doc_id"] or -1, tuple(r["positions"]), tuple(r["fingerprints"])) for r in run("op7_fingerprints").collect()) == sorted((i or -1, *brute(t, winnow.K, winnow.WINDOW)) for i, t in texts)
+    # scores: the definition, word by word
+    words = lblm.vocabulary(docs(texts))
+    model = lblm.train(docs(texts), words)
+    scores = {r["doc_id"]: r["total_log_prob"] for r in run("op8_lm_scoring").collect()}
+    seen = Counter(h for _, _, found, _ in words_of(pa.array([t for _, t in texts], pa.string())) for h in found.tolist())
+    for i in (100, 205, 300):
+        ((_, _, hashes, _),) = words_of(pa.array([dict(texts)[i]]))
+        ids = [words.size] * lblm.CONTEXT + words.ids(hashes).tolist()
+        total = sum(np.log(by_hand(words, model, ids[k - lblm.CONTEXT : k])[ids[k]]) for k in range(lblm.CONTEXT, len(ids)))
+        total += sum(np.log(seen[h] / words.rest[w]) for h, w in zip(hashes.tolist(), ids[lblm.CONTEXT :]) if w < lblm.BUCKETS)
+        assert abs(total - scores[i]) < 1e-3 * abs(total)
+    # SentencePiece: the other library
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=sentencepieces.MODEL)
+    for r in run("op10_sentencepiece").collect():
+        if r["doc_id"] not in (None, 1, 7):
+            assert r["ids"] == sp.encode(dict(texts)[r["doc_id"]]) and r["parity"] and r["round_trip"]
+
+
 # shared
 
 
 def test_word_hashes_do_not_depend_on_slices(prose, monkeypatch):
-    from landweave.llm import wordhash
-
     texts = pa.array([prose(n, n) for n in (1, 50, 400, 3, 900)] + [None, "", "  x ", "É é"])
     whole = np.concatenate([w for _, _, w, _ in words_of(texts)])
     monkeypatch.setattr(wordhash, "SLICE", 97)
