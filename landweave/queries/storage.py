@@ -9,6 +9,7 @@ from ..operators import allocate, build, models, patches, potential, transitions
 from ..plans import design, lineage
 from ..plans.database import LandDatabase
 from ..schemas import TABLES
+from ..sources.store import concat
 from .analytics import _PAIRS, _TRAINING, LABELS, ORACLE_SQL, SIMILARITY, _maps, _observed, _store, _training, _two_maps, query, r8, recursive
 from .panel import COLS, TRANS, Panel
 
@@ -205,6 +206,14 @@ def _(p: Panel) -> DataFrame:
     return s.query("select id_coord, id_period, id_lulc from lulc_of_all where id_lulc in (1, 3) and id_period <> 4 and not (id_coord % 2 = 0) and id_period = (select max(id_period) from lulc_of_all) and cast(id_coord as string) like '1_%'")
 
 
+@query("u4_concat", "select id_coord, id_lulc, id_period, cast(null as integer) \"row\" from lulc where id_period = 1 union all select id_coord, null, null, \"row\" from coords")
+def _(p: Panel) -> DataFrame:
+    folder = p.folder("parts")
+    p.lulc.where("id_period = 1").write.parquet(f"{folder}/a")
+    p.coords.select("row", "id_coord").write.parquet(f"{folder}/b")
+    return concat(p.spark, [f"{folder}/a", f"{folder}/b"]).select("id_coord", "id_lulc", "id_period", "row")
+
+
 @query("o3_in_order", "select id_coord, id_period, id_lulc from (select * from lulc order by id_coord nulls last, id_period nulls last limit 50)")
 def _(p: Panel) -> DataFrame:
     s = _store(p)

@@ -34,6 +34,13 @@ class ReadOnly(PermissionError):
     """A write to a store that was opened for reading."""
 
 
+def concat(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """The rows of several Parquet tables, columns by name; null where a table lacks one."""
+    if not paths:
+        raise ValueError("no paths")
+    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (spark.read.parquet(p) for p in paths))
+
+
 class ParquetStore:
     #: Files have so many rows at most (0: any number).
     rows_per_file = 0
