@@ -100,7 +100,7 @@ def facts(df: DataFrame, name: str) -> Facts:
     """Writes ``df`` (_key, _at, ...) to the shared folder, in as many buckets as a shuffle has partitions."""
     spark = df.sparkSession
     n, path = int(spark.conf.get("spark.sql.shuffle.partitions")), scratch(spark, name)
-    df.repartition(n, "_key").sortWithinPartitions("_key", "_at").write.option("parquet.block.size", GROUP_BYTES).parquet(path)
+    df.repartition(n, "_key").sortWithinPartitions("_key", "_at").write.option("parquet.block.size", GROUP_BYTES).option("maxRecordsPerFile", 0).parquet(path)
     return Facts(part_files(spark, path), n)
 
 

@@ -73,7 +73,7 @@ def suspects(docs: DataFrame, text: str) -> DataFrame:
     each = docs.select(*ROW, F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("pos", "line"))
     each = each.filter(F.col("line").rlike("\\S")).select(F.xxhash64("line").alias("h"), *ROW, "pos")
     path = scratch(spark, "line-hashes")
-    each.repartition(_shards(docs), "h").write.parquet(path)
+    each.repartition(_shards(docs), "h").write.option("maxRecordsPerFile", 0).parquet(path)
     shards = sorted(part_files(spark, path).values())
     listed = spark.createDataFrame(list(enumerate(shards)), "i int, file string").repartitionById(max(1, len(shards)), F.col("i"))
     return stash(listed.select("file").mapInArrow(_suspects_of, "_key long, _at long, pos int"), "suspects")[0]

@@ -386,6 +386,36 @@ def test_lines_odd_inputs(docs):
     assert lines.query(docs([(1, long)])).first()["lines_dropped"] == 70_000
 
 
+def test_facts_reach_their_rows(spark, docs, tmp_path, monkeypatch):
+    """Whatever the files, blocks and buckets: every fact comes to its row, and to no other."""
+    monkeypatch.setattr(beside, "BLOCK", 7)
+    docs([(i, f"text {i}") for i in range(300)]).repartition(3).write.parquet(str(tmp_path / "d"))
+    d = beside.located(spark.read.parquet(str(tmp_path / "d")))
+    assert d.select("_key", "_at").distinct().count() == 300
+    told = beside.facts(d.filter("_in0 % 3 = 1").select("_key", "_at", F.col("_in0").alias("v")), "facts")
+
+    def each(has, table, n):
+        out = np.full(n, -1, dtype=np.int64)
+        if table is not None:
+            out[has] = table["v"].to_numpy()
+        return pd.Series(out)
+
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 5)  # bucket by bucket a file, even so
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")  # the scan is cut otherwise when they are read
+    try:
+        again = beside.facts(d.filter("_in0 % 3 = 1").select("_key", "_at", F.col("_in0").alias("v")), "facts")
+        for found in (told, again):
+            assert {(r[0], r[1]) for r in d.select("_in0", beside.told(found, "long", each)).collect()} == {(i, i if i % 3 == 1 else -1) for i in range(300)}
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    none = beside.facts(d.filter("false").select("_key", "_at", F.col("_in0").alias("v")), "none")
+    assert d.select(beside.told(none, "long", each).alias("v")).filter("v >= 0").count() == 0
+    # What isn't a plain scan is written first: rows of a join have places of their own.
+    joined = beside.located(spark.read.parquet(str(tmp_path / "d")).crossJoin(spark.range(2)))
+    assert joined.select("_key", "_at").distinct().count() == 600
+
+
 def test_bloom():
     rng = np.random.default_rng(0)
     held, other = rng.integers(0, 1 << 63, (2, 20_000), dtype=np.uint64)
