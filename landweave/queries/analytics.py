@@ -439,10 +439,12 @@ select v "value", cast(count(*) as integer) patch_count, round(avg(n), 6) patch_
 #: Similarities of two maps m (r, c, va, vb; null: no class) both ways at window W, by cell.
 SIMILARITY = """e as (select max(r) mr, max(c) mc from m),
 o as (select x.i, y.j, exp(-sqrt(cast(x.i * x.i + y.j * y.j as double)) / 2) w from range(-{h}, {h} + 1) x(i), range(-{h}, {h} + 1) y(j)),
-seen as (select m.r, m.c, o.w, s.va, s.vb from m, o, e, m s where s.r = greatest(0, least(e.mr, m.r + o.i)) and s.c = greatest(0, least(e.mc, m.c + o.j))),
-cats as (select distinct unnest([va, vb]) cat from m),
-f as (select r, c, cat, sum(case when va = cat then w else 0 end) / sum(w) fa, sum(case when vb = cat then w else 0 end) / sum(w) fb, bool_or(va is null or vb is null) gap from seen, cats where cat is not null group by r, c, cat),
-s as (select r, c, case when not bool_or(gap) then sum(least(fa, fb)) end s from f group by 1, 2),
+seen as (select t.r, t.c, t.w, s.va, s.vb from (select m.r, m.c, o.w, greatest(0, least(e.mr, m.r + o.i)) tr, greatest(0, least(e.mc, m.c + o.j)) tc from m, o, e) t join m s on s.r = t.tr and s.c = t.tc),
+whole as (select r, c, sum(w) total, bool_or(va is null or vb is null) gap from seen group by 1, 2),
+fa as (select r, c, va cat, sum(w) f from seen where va is not null group by 1, 2, 3),
+fb as (select r, c, vb cat, sum(w) f from seen where vb is not null group by 1, 2, 3),
+shared as (select r, c, sum(least(fa.f, fb.f)) f from fa join fb using (r, c, cat) group by 1, 2),
+s as (select r, c, case when not gap then coalesce(f, 0) / total end s from whole left join shared using (r, c)),
 both_ways as (select m.r, m.c, case when m.va is not null then s end sim_a, case when m.vb is not null then s end sim_b from m join s using (r, c))"""
 _TWO = """, m as (select c."row" r, c.col c, a.id_lulc va, b.id_lulc vb from coords c left join (select * from lulc where id_period = 1) a using (id_coord) left join (select * from lulc where id_period = 2) b using (id_coord)),
 """
