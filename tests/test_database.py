@@ -55,6 +55,19 @@ def test_tables(db):
     assert {r["key"] for r in db.reporting_t.collect()} >= {"purpose", "last_opened", "report_name"}
 
 
+def test_matrices_of_a_transition(db):
+    assert db.run_lineage == [0] and db.pred_sources_v.count() == 0
+    a, b = db._transition(1)
+    rows = db.trans_pred_data_v(1)
+    before = db.trans_v.where((F.col("id_lulc_anterior") == a) & (F.col("id_period") <= 3))
+    assert rows.count() == before.count() and rows.where("did_transition").count() == before.where(F.col("id_lulc_posterior") == b).count()
+    kinds = dict(rows.dtypes)
+    assert kinds["id_pred_1"] in ("double", "int") and kinds["id_pred_2"] == "string" and {r[0] for r in rows.select("id_pred_2").distinct().collect()} == {"Clay", "Sandy"}
+    wide = db.pred_data_wide_v(1, 3)
+    assert wide.count() == db.lulc_data_t.where((F.col("id_period") == 3) & (F.col("id_lulc") == a)).count() and set(wide.columns) == {"id_coord", *(f"id_pred_{i}" for i in range(1, 9))}
+    assert db.trans_pred_data_v(2, [1]).columns == ["id_coord", "id_period", "did_transition", "id_pred_1"]
+
+
 def test_override_by_a_run(db):
     before = db.fetch("pred_data_t", where="id_pred = 1").count()
     db.id_run = 2
@@ -166,5 +179,7 @@ def test_models_of_several_runs(db):
     fitted = db.fit_partial_models(models.Featureless(), trans_meta=db.trans_meta_t.where("id_trans = 1"))
     assert fitted.where("id_trans = 1").count() >= 1
     assert features[1][0] == "id_pred_1" and db.get_crossval_predictions().select("id_trans").distinct().count() == 2
+    spread = db.fit_spread_models(max_depth=2).where("learner_id = 'classif.rpart' and learner_full is not null")
+    assert {r["id_trans"] for r in spread.collect()} == {1, 2}
     with pytest.raises(ValueError, match="no viable"):
         db.fit_partial_models(models.Featureless(), trans_preds=db.trans_preds_t.where("false"))
