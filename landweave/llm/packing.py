@@ -182,8 +182,9 @@ def sequences(packed: DataFrame) -> DataFrame:
 
 
 def unpacked(packed: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, text) of every sequence, found by its end mark in the pieces of a doc_id; where doc_ids
-    repeat, their sequences come back one after another. For checks: gathers a doc_id's pieces in one row."""
+    """(doc_id, text) of every sequence, found by its end mark in the pieces of a doc_id. Sequences of a doc_id that
+    repeats come back one after another if each is one piece; of longer ones the pieces can't be told apart.
+    For checks: gathers a doc_id's pieces in one row."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary)
