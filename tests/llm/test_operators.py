@@ -281,6 +281,59 @@ def test_secrets_recall(docs, prose):
     assert {r["doc_id"] for r in found} >= {1000, 1001, 1002} and not any(r["doc_id"] >= 2000 for r in found)
 
 
+def test_secrets_without_greatest_lengths(docs, prose):
+    """Values, names and blanks of any length; long runs that are rejected are searched for names within."""
+    rng = random.Random(14)
+    key = lambda n, chars="abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789": "".join(rng.choice(chars) for _ in range(n))
+    values = [key(40) for _ in range(9)] + ["ghp_" + key(36), key(40)] + [key(300, "(){}[]<>;,:0123456789abcdef"), key(260), key(70_000)]
+    forms = ["token=" + "ab/" * 600 + "&api_key={}", "url?a=" + "token=" * 500 + "&secret={}", "sk-" + "ab" * 2000 + " secret={}", "token_for_the_production_environment_of_x = {}"]
+    forms += ["password            =            {}", "password:\n                    {}", 'token = """{}"""', "postgres://" + "u" * 120 + ":{}@db.host/x", 'secret="' + "so it was " * 30 + '1" token: {}']
+    forms += ["name-with-{}-token: of the production environment", "disk_token_for_the_production_environment_of_x = {}", 'password = "{}"', "postgres://admin:{}@db.host/x", "secret={}"]
+    texts = {i: f"{prose(20, i)}\n{form.format(v)}\n{prose(20, 50 + i)}" for i, (form, v) in enumerate(zip(forms, values))}
+    begins = key(40)
+    texts[20] = f'{prose(20, 1)}\npassword = "{begins} {"and so on with that " * 15}1"'
+    wanted = {*enumerate(values), (20, begins)}
+    found = secrets.scan(docs(list(texts.items()))).collect()
+    assert {(r["doc_id"], texts[r["doc_id"]][r["start"] : r["end"]]) for r in found if r["doc_id"] != 1} - {(10, "sk_token_for_the_production_environment_of_x")} == {w for w in wanted if w[0] != 1}
+    assert [texts[1][r["start"] : r["end"]].endswith("&secret=" + values[1]) for r in found if r["doc_id"] == 1] == [True]  # as in short runs, with names before it
+    out = {r["doc_id"]: r["text"] for r in secrets.redact(docs(list(texts.items()))).collect()}
+    assert all(v not in out[i] and (i in (1, 10) or out[i] == texts[i].replace(v, secrets.MASK)) for i, v in wanted)
+
+
+def test_secrets_know_identifiers_beyond_the_dictionary(docs, prose):
+    """All identifiers that are frequent enough count, also those for which the dictionary has no room."""
+    rng = random.Random(15)
+    name = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=18))
+    names = [name() for _ in range(3000)]
+    key = lambda: "".join(rng.choices("0123456789abcdef", k=32))
+    texts = []
+    for copy in range(secrets.LEAST_DOCS):
+        for i in range(0, len(names), 10):
+            texts.append((len(texts), f'{" ".join(names[i : i + 5])} secret = "{key()}" {" ".join(names[i + 5 : i + 10])}'))
+    asked = {len(texts) + i: f"{prose(20, i)}\ntoken = {n}.{m}\n" for i, (n, m) in enumerate(zip(names[::20], names[10::20]))}
+    asked |= {5000 + i: f"{prose(20, i)}\ntoken = {name()}.{name()}\n" for i in range(10)}
+    known = secrets.dictionary(docs([*texts, *asked.items()]))
+    head = set(known.split("\n")[0].split(" "))
+    assert len(" ".join(head)) <= secrets.DICTIONARY_BYTES and known.rest == (set(names[::10]) - head) and len(known.rest) > 100
+    found = {r["doc_id"] for r in secrets.scan(docs([*texts, *asked.items()])).collect()}
+    beyond = {i for i, t in asked.items() if set(re.findall("[a-z]{18}", t)) <= known.rest}
+    assert found >= {i for i, _ in texts} | {i for i in asked if i >= 5000} and not found & beyond
+    primed = secrets.Scanner(str(known))
+    assert len(beyond) > 10 and all(primed.find(asked[i]) for i in beyond)
+    assert known.rest == secrets.dictionary(docs([*texts, *asked.items()]).repartition(3)).rest
+
+
+def test_secrets_blocks(prose):
+    """A long value is the sum of its blocks, whichever value of the same end was measured before."""
+    text = prose(30, 1) + "".join(random.Random(16).choices("0123456789abcdef", k=5200)) + prose(30, 2)
+    start, end = len(prose(30, 1)), len(prose(30, 1)) + 5200
+    scanner, sums = secrets.Scanner(), {}
+    at = lambda a, b: scanner.marginal(text[max(0, a - secrets.WINDOW) : a], text[a:b], text[b : b + secrets.WINDOW])
+    for a in (start + 3300, start, start + 4900, start + 1):
+        cuts = [*range(end, a, -secrets.BLOCK), a][::-1]
+        assert scanner._bytes(text, a, end, sums) == sum(map(at, cuts, cuts[1:]))
+
+
 # 4 packing
 
 
