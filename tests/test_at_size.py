@@ -44,3 +44,10 @@ def joins(df) -> str:
 def test_points_are_not_broadcast(spark):
     pairs = neighbors.neighbor_pairs(Panel(spark, SF).coords, 300, [0.0, 300.0])
     assert "SortMergeJoin" in joins(pairs) and "Broadcast" not in joins(pairs)
+
+
+def test_upsert_of_ids_that_the_panel_has(spark, parts):
+    """The added cells are apart from the panel's, also where the panel reaches their ids."""
+    folder = parts(*range(5), 20, *range(99_999, 100_006))
+    df = analytics.QUERIES["s13_upsert"](spark, folder)
+    assert sorted(map(tuple, df.collect())) == by_sql("s13_upsert", folder, df.columns)
