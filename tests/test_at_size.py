@@ -46,6 +46,11 @@ def test_points_are_not_broadcast(spark):
     assert "SortMergeJoin" in joins(pairs) and "Broadcast" not in joins(pairs)
 
 
+def test_cells_are_not_broadcast_to_be_counted(spark):
+    plan = joins(analytics.QUERIES["a5_neighbor_counts"](spark, SF))
+    assert "SortMergeJoin [gx" in plan and "BroadcastHashJoin [gx" not in plan
+
+
 def test_upsert_of_ids_that_the_panel_has(spark, parts):
     """The added cells are apart from the panel's, also where the panel reaches their ids."""
     folder = parts(*range(5), 20, *range(99_999, 100_006))
