@@ -51,6 +51,11 @@ def test_cells_are_not_broadcast_to_be_counted(spark):
     assert "SortMergeJoin [gx" in plan and "BroadcastHashJoin [gx" not in plan
 
 
+def test_classed_pairs_are_merged(spark):
+    plan = joins(analytics.QUERIES["j10_neighbors"](spark, SF))
+    assert "SortMergeJoin [gx" in plan and "Broadcast" not in plan
+
+
 def test_upsert_of_ids_that_the_panel_has(spark, parts):
     """The added cells are apart from the panel's, also where the panel reaches their ids."""
     folder = parts(*range(5), 20, *range(99_999, 100_006))
