@@ -37,7 +37,7 @@ def multinomial_states(probabilities: DataFrame, uniforms: DataFrame, stay: int
     the cell's uniform ``u``; the last state (or ``stay``) beyond all. Null and negative count as 0."""
     p = probabilities.withColumn("p", F.greatest(F.lit(0.0), F.coalesce(F.nanvl("p", F.lit(0.0)), F.lit(0.0))))
     upto = F.sum("p").over(Window.partitionBy("cell").orderBy("state").rowsBetween(Window.unboundedPreceding, 0))
-    hit = p.withColumn("upto", upto).join(uniforms, "cell").groupBy("cell").agg(F.min(F.when(F.col("u") < F.col("upto"), F.col("state"))).alias("s"), F.max("state").alias("last"))
+    hit = p.withColumn("upto", upto).join(uniforms.hint("merge"), "cell").groupBy("cell").agg(F.min(F.when(F.col("u") < F.col("upto"), F.col("state"))).alias("s"), F.max("state").alias("last"))
     return hit.select("cell", F.coalesce("s", F.col("last") if stay is None else F.lit(stay)).alias("state"))
 
 

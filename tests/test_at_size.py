@@ -56,6 +56,19 @@ def test_classed_pairs_are_merged(spark):
     assert "SortMergeJoin [gx" in plan and "Broadcast" not in plan
 
 
+def test_uniforms_of_large_ids(spark, parts):
+    """Ids times 7919 are beyond 32 bits, where the SQL overflows as well: the states are worked out here."""
+    ids = (3, 271_178, 271_179, 1_199_999, 7_199_999)
+    df = analytics.QUERIES["r6_multinomial"](spark, parts(*ids))
+    for cell, state in ((r["cell"], r["state"]) for r in df.collect()):
+        upto, wanted = 0.0, None
+        own = [t for t in (1, 2, 3, 4) if (cell + t) % 5]
+        for t in own:
+            upto += (cell * 37 + t * 11) % 100 / 100 / 2
+            wanted = t if wanted is None and (cell * 7919) % 1000 / 1000 < upto else wanted
+        assert state == (wanted or own[-1])
+
+
 def test_upsert_of_ids_that_the_panel_has(spark, parts):
     """The added cells are apart from the panel's, also where the panel reaches their ids."""
     folder = parts(*range(5), 20, *range(99_999, 100_006))
