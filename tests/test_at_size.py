@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from landweave.operators import allocate, neighbors
+from landweave.operators import models, neighbors
 from landweave.queries import analytics, storage  # noqa: F401 - registers more queries
 from landweave.queries.panel import Panel
 
@@ -28,12 +29,12 @@ def parts(spark, tmp_path):
     return of
 
 
-def by_sql(name: str, folder: str, columns: list[str]) -> list[tuple]:
+def by_sql(name: str, folder: str, columns: list[str], files: str = ".parquet/*.parquet") -> list[tuple]:
     import duckdb
 
     con = duckdb.connect()
     for t in ("part", "lineitem"):
-        con.execute(f"create view {t} as select * from '{folder}/{t}.parquet/*.parquet'")
+        con.execute(f"create view {t} as select * from '{folder}/{t}{files}'")
     return sorted(con.execute("select " + ", ".join(columns) + f" from ({analytics.ORACLE_SQL[name]})").fetchall())
 
 
@@ -74,3 +75,23 @@ def test_upsert_of_ids_that_the_panel_has(spark, parts):
     folder = parts(*range(5), 20, *range(99_999, 100_006))
     df = analytics.QUERIES["s13_upsert"](spark, folder)
     assert sorted(map(tuple, df.collect())) == by_sql("s13_upsert", folder, df.columns)
+
+
+def test_held_out_scores_choose_the_model(spark, monkeypatch):
+    """What is refitted follows from the scores of the fits, which nothing puts others in the place of."""
+    wanted = sorted(by_sql("m2_select_and_refit", SF, ["learner_id", "id_coord", "value"], ".parquet"))
+    assert sorted(map(tuple, analytics.QUERIES["m2_select_and_refit"](spark, SF).select("learner_id", "id_coord", "value").collect())) == wanted
+    other = {"a": "b", "b": "a"}[wanted[0][0]]
+    tried = models.fit_partial
+
+    def reversed_scores(t, names, learner):
+        return tried(t, names, learner).withColumn("crossval_score", F.create_map(F.lit("classif.auc"), F.when(F.col("learner_id") == other, "0.9").otherwise("0.1")))
+
+    monkeypatch.setattr(models, "fit_partial", reversed_scores)
+    df = analytics.QUERIES["m2_select_and_refit"](spark, SF)
+    assert {r[0] for r in df.select("learner_id").collect()} == {other}
+
+
+def test_shares_by_value():
+    x, y = np.array([[1.0], [1.0], [2.0], [np.nan]]), np.array([1, 0, 1, 0])
+    assert models.Shares().fit(x, y).predict(np.array([[1.0], [2.0], [np.nan], [1.5], [9.0]])).tolist() == [0.5, 1.0, 0.0, 0.5, 0.5]
