@@ -1,15 +1,17 @@
 """Allocation of change on a raster: multinomial draws and the growth of patches.
 
 Growing patches is sequential within a raster, so runs are what goes in parallel: each
-raster is one group of ``applyInPandas``.
+raster is one task's. Its rows arrive in batches and are kept as arrays only: some 40 bytes a cell,
+and 8 for each potential of a cell that its transition can change.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,8 +86,12 @@ class Landscape:
     """A raster in allocation: what each cell was (``before``) and is (``now``); -1 has no class."""
 
     def __init__(self, classes: np.ndarray, n_rows: int, n_cols: int):
-        self.before, self.now, self.n_cols = classes.copy(), classes.copy(), n_cols
-        self.around = rook_neighbors(n_rows, n_cols)
+        self.before, self.now, self.n_rows, self.n_cols = classes.copy(), classes.copy(), n_rows, n_cols
+
+    def around(self, cell: int) -> list[int]:
+        """Those of the up, down, left and right cell that there are."""
+        r, c = divmod(cell, self.n_cols)
+        return [x for x, inside in ((cell - self.n_cols, r > 0), (cell + self.n_cols, r < self.n_rows - 1), (cell - 1, c > 0), (cell + 1, c < self.n_cols - 1)) if inside]
 
     def grow(self, pivot: int, area: int, from_class: int, to_class: int, p: np.ndarray, shape: float, avoid: bool) -> tuple[int, list[int]]:
         """Grows a patch from ``pivot`` by the bordering cell with the largest potential per deviation from
@@ -99,7 +105,7 @@ class Landscape:
         inside = {pivot}
 
         def spread(cell: int) -> None:
-            border.update(x for x in self.around[:, cell].tolist() if x >= 0 and x not in inside)
+            border.update(x for x in self.around(cell) if x not in inside)
 
         def foreign(cell: int) -> bool:
             return self.before[cell] == from_class and self.now[cell] == to_class
@@ -121,19 +127,30 @@ class Landscape:
             border.discard(best)
             moments.add(*divmod(best, self.n_cols))
             spread(best)
-        if avoid and any(x >= 0 and foreign(x) for x in self.around[:, patch[-1]].tolist()):
+        if avoid and any(map(foreign, self.around(patch[-1]))):
             return 0, patch
         self.now[patch] = to_class
         return len(patch), patch
 
 
+@dataclass
+class OfClass:
+    """Potentials of one class's cells, looked up by cell; ``rank`` numbers the cells of each class."""
+
+    rank: np.ndarray
+    values: np.ndarray
+
+    def __getitem__(self, cells: np.ndarray) -> np.ndarray:
+        return self.values[self.rank[cells]]
+
+
 @dataclass
 class Transition:
-    """One transition with its dense potentials over the raster."""
+    """One transition with its potentials: dense over the raster, or of its class's cells."""
 
     from_class: int
     to_class: int
-    p: np.ndarray
+    p: np.ndarray | OfClass
     area_mean: float = 1.0
     area_var: float = 0.0
     elongation: float = 0.5
@@ -180,7 +197,7 @@ def allocate(land: Landscape, transitions: list[Transition], rng: np.random.Gene
             if shuffle:
                 drawn = rng.permutation(drawn)
             tried = 0
-            for i in drawn.tolist():
+            for i in drawn:
                 q, cell = int(state[i]), int(pool[i])
                 if tried >= size:
                     break
@@ -212,30 +229,100 @@ def allocate_runs(cells: DataFrame, potentials: DataFrame, transitions: DataFram
     0.5, a missing rate 0; single cells are drawn where every mean area of a run is 1 without variance.
     """
 
-    def one(key: tuple, cells: pd.DataFrame, rest: pd.DataFrame) -> pd.DataFrame:
-        cells = cells.sort_values(["row", "col"])
-        trans = rest[rest["kind"] == 0]
-        r, c = cells["row"].to_numpy(), cells["col"].to_numpy()
-        n_rows, n_cols = (int(r.max()) + 1, int(c.max()) + 1) if len(cells) else (0, 0)
-        at = r * n_cols + c
-        classes = np.full(n_rows * n_cols, -1, dtype=np.int64)
-        classes[at] = cells["id_lulc"].fillna(-1).to_numpy()
-        where = pd.Series(at, index=cells["id_coord"].to_numpy())
-        own = []
-        for t in trans.sort_values("id_trans").itertuples():
-            p = np.zeros(len(classes))
-            some = rest[(rest["kind"] == 1) & (rest["id_trans"] == t.id_trans)]
-            some = some[some["id_coord"].isin(where.index)]
-            p[where.loc[some["id_coord"]].to_numpy()] = some["value"].to_numpy()
-            own.append(Transition(int(t.id_lulc_anterior), int(t.id_lulc_posterior), p, float(t.area_mean), float(np.nan_to_num(t.area_var)), 0.5 if np.isnan(t.elongation) else float(t.elongation), float(np.nan_to_num(t.rate))))
-        single = all(t.area_mean == 1 and t.area_var == 0 for t in own)
-        land = Landscape(classes, n_rows, n_cols)
-        rng = np.random.default_rng([seed, 0 if not key else int(key[0])])
-        now = allocate(land, own, rng, single_cells=single, **options)[at] if own else classes[at]
-        return pd.DataFrame({"id_run": cells["id_run"], "id_coord": cells["id_coord"], "id_lulc": np.where(now < 0, np.nan, now)})
-
-    none = lambda t: F.lit(None).cast(t)
-    a = transitions.select("id_run", F.lit(0).alias("kind"), "id_trans", none("int").alias("id_coord"), none("double").alias("value"), "id_lulc_anterior", "id_lulc_posterior", *[F.col(c).cast("double") for c in ("area_mean", "area_var", "elongation", "rate")])
-    b = potentials.select("id_run", F.lit(1).alias("kind"), "id_trans", "id_coord", "value", none("int").alias("id_lulc_anterior"), none("int").alias("id_lulc_posterior"), *[none("double").alias(c) for c in ("area_mean", "area_var", "elongation", "rate")])
-    out = cells.groupBy("id_run").cogroup(a.union(b).groupBy("id_run")).applyInPandas(one, "id_run int, id_coord int, id_lulc double")
-    return out.select("id_run", "id_coord", F.col("id_lulc").cast("int"))
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run = None
+        for batch in batches:
+            # Rows come by run and kind; pieces of a batch have one of each.
+            of = np.stack([batch.column(c).to_numpy() for c in ("id_run", "kind")])
+            cuts = [0, *(np.flatnonzero((of[:, 1:] != of[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if run is None or run.id_run != of[0, a]:
+                    if run is not None:
+                        yield from run.allocated(seed, options)
+                    run = _Run(int(of[0, a]))
+                run.take(int(of[1, a]), batch.slice(a, b - a))
+        if run is not None:
+            yield from run.allocated(seed, options)
+
+    cols = lambda kind, k, id_coord, row, col, value, params: [F.col("id_run").cast("int").alias("id_run"), F.lit(kind).alias("kind"), F.col(k).cast("int").alias("k"), *[x.cast(t).alias(n) for x, t, n in ((id_coord, "int", "id_coord"), (row, "int", "row"), (col, "int", "col"), (value, "double", "value"), (params, "array<double>", "params"))]]
+    no = F.lit(None)
+    params = F.array(*[F.col(c).cast("double") for c in ("id_lulc_anterior", "id_lulc_posterior", "area_mean", "area_var", "elongation", "rate")])
+    a = transitions.select(*cols(_TRANSITION, "id_trans", no, no, no, no, params))
+    b = cells.select(*cols(_CELL, "id_lulc", F.col("id_coord"), F.col("row"), F.col("col"), no, no))
+    c = potentials.select(*cols(_POTENTIAL, "id_trans", F.col("id_coord"), no, no, F.col("value"), no))
+    # A given number of partitions, as Spark would put small runs into one task.
+    n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return a.union(b).union(c).repartition(n, "id_run").sortWithinPartitions("id_run", "kind").mapInArrow(work, "id_run int, id_coord int, id_lulc int")
+
+
+#: Kinds of rows, in the order in which a run takes them.
+_TRANSITION, _CELL, _POTENTIAL = range(3)
+_BATCH = 65_536
+
+
+class _Run:
+    """The raster of one run, filled from batches of rows."""
+
+    def __init__(self, id_run: int):
+        self.id_run, self.own, self.parts = id_run, {}, []
+        self.classes: np.ndarray | None = None
+
+    def take(self, kind: int, rows: pa.RecordBatch) -> None:
+        if kind == _TRANSITION:
+            for k, params in zip(rows.column("k").to_pylist(), rows.column("params").to_pylist()):
+                a, b, mean, var, shape, rate = (np.nan if x is None else x for x in params)
+                self.own[k] = Transition(int(a), int(b), np.empty(0), mean, float(np.nan_to_num(var)), 0.5 if np.isnan(shape) else shape, float(np.nan_to_num(rate)))
+        elif kind == _CELL:
+            self.parts.append([rows.column(c).fill_null(-1).to_numpy().copy() for c in ("id_coord", "row", "col", "k")])
+        elif self.parts or self.classes is not None:
+            self._fill()
+            self._potentials(rows)
+
+    def _fill(self) -> None:
+        """Cells to arrays, once all are there."""
+        if self.classes is not None:
+            return
+        self.ids, r, c, k = (np.concatenate(x) for x in zip(*self.parts))
+        self.parts = []
+        self.n_rows, self.n_cols = int(r.max()) + 1, int(c.max()) + 1
+        size = self.n_rows * self.n_cols
+        self.at = r.astype(np.int32 if size < 1 << 31 else np.int64)
+        self.at *= self.n_cols
+        self.at += c
+        del r, c
+        order = np.argsort(self.ids, kind="stable")
+        self.ids, self.at, k = self.ids[order], self.at[order], k[order]
+        self.classes = np.full(size, -1, dtype=np.int32)
+        self.classes[self.at] = k
+        self.rank, n = np.zeros(size, dtype=self.at.dtype), {}
+        for f in {t.from_class for t in self.own.values()}:
+            of = np.flatnonzero(self.classes == f)
+            self.rank[of], n[f] = np.arange(len(of)), len(of)
+        for t in self.own.values():
+            t.p = OfClass(self.rank, np.zeros(n[t.from_class]))
+
+    def _potentials(self, rows: pa.RecordBatch) -> None:
+        k, ids = rows.column("k").fill_null(-1).to_numpy(), rows.column("id_coord").fill_null(-1).to_numpy()
+        value = rows.column("value").to_numpy(zero_copy_only=False)
+        i = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
+        at, known = self.at[i], self.ids[i] == ids
+        for x in np.unique(k).tolist():
+            t = self.own.get(x)
+            if t is not None:
+                some = known & (k == x) & (self.classes[at] == t.from_class)
+                t.p.values[self.rank[at[some]]] = value[some]
+
+    def allocated(self, seed: int, options: dict) -> Iterator[pa.RecordBatch]:
+        if not self.parts and self.classes is None:
+            return
+        self._fill()
+        own = [self.own[k] for k in sorted(self.own)]
+        now = self.classes
+        if own:
+            single = all(t.area_mean == 1 and t.area_var == 0 for t in own)
+            now = allocate(Landscape(self.classes, self.n_rows, self.n_cols), own, np.random.default_rng([seed, self.id_run]), single_cells=single, **options)
+        for i in range(0, len(self.ids), _BATCH):
+            k = now[self.at[i : i + _BATCH]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), self.id_run, dtype=np.int32)), pa.array(self.ids[i : i + _BATCH]), pa.array(k, mask=k < 0)], names=["id_run", "id_coord", "id_lulc"])

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import datetime
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from landweave.operators import models, neighbors
+from landweave.operators import allocate, models, neighbors
 from landweave.queries import analytics, storage  # noqa: F401 - registers more queries
 from landweave.queries.panel import Panel
 
@@ -95,3 +97,26 @@ def test_held_out_scores_choose_the_model(spark, monkeypatch):
 def test_shares_by_value():
     x, y = np.array([[1.0], [1.0], [2.0], [np.nan]]), np.array([1, 0, 1, 0])
     assert models.Shares().fit(x, y).predict(np.array([[1.0], [2.0], [np.nan], [1.5], [9.0]])).tolist() == [0.5, 1.0, 0.0, 0.5, 0.5]
+
+
+def test_a_run_s_raster_is_kept_in_few_bytes(spark):
+    """Of 160,000 cells and two transitions at most 110 bytes a cell; the last column is beyond what the cells fill."""
+    side = 400
+    i = np.arange(side * side, dtype=np.int32)
+    run, full = allocate._Run(3), lambda x, t="i4": pa.array(np.full(len(i), x, dtype=t))
+    none = lambda t: pa.nulls(len(i), t)
+    names = ["k", "id_coord", "row", "col", "value", "params"]
+    cells = pa.RecordBatch.from_arrays([pa.array(i % 3 + 1), pa.array(i), pa.array(i // side), pa.array(i % side), none(pa.float64()), none(pa.list_(pa.float64()))], names=names)
+    pots = [pa.RecordBatch.from_arrays([full(t), pa.array(i), none(pa.int32()), none(pa.int32()), full(0.3 * t, "f8"), none(pa.list_(pa.float64()))], names=names) for t in (1, 2)]
+    ends = pa.RecordBatch.from_arrays([pa.array([1, 2], pa.int32()), *[pa.nulls(2, t) for t in (pa.int32(), pa.int32(), pa.int32(), pa.float64())], pa.array([[1, 2, 4.0, 2.0, None, 0.05], [2, 3, 4.0, None, 0.5, 0.05]])], names=names)
+    tracemalloc.start()
+    for kind, rows in ((0, ends), (1, cells), *[(2, p) for p in pots]):
+        for a in range(0, rows.num_rows, 10_000):
+            run.take(kind, rows.slice(a, 10_000))
+    out = list(run.allocated(7, {}))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(b.num_rows for b in out) == len(i) and peak < 110 * len(i)
+    dense = [allocate.Transition(t, t + 1, np.full(len(i), 0.3 * t), 4.0, (2.0, 0.0)[t - 1], 0.5, 0.05) for t in (1, 2)]
+    wanted = allocate.allocate(allocate.Landscape(i % 3 + 1, side, side), dense, np.random.default_rng([7, 3]), single_cells=False)
+    assert np.concatenate([b.column("id_lulc").to_numpy() for b in out]).tolist() == wanted.tolist()
