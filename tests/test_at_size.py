@@ -120,3 +120,31 @@ def test_a_run_s_raster_is_kept_in_few_bytes(spark):
     dense = [allocate.Transition(t, t + 1, np.full(len(i), 0.3 * t), 4.0, (2.0, 0.0)[t - 1], 0.5, 0.05) for t in (1, 2)]
     wanted = allocate.allocate(allocate.Landscape(i % 3 + 1, side, side), dense, np.random.default_rng([7, 3]), single_cells=False)
     assert np.concatenate([b.column("id_lulc").to_numpy() for b in out]).tolist() == wanted.tolist()
+
+
+def test_cuts_by_counting(monkeypatch):
+    """Quantiles of counted values are those of the rows, and a forest of many rows with few values sorts none of them."""
+    rng = np.random.default_rng(2)
+    q = np.linspace(0, 1, 65)[1:-1]
+    for n in (66, 1000, 5001):
+        v = rng.choice(rng.normal(size=90), n)
+        values, counts = np.unique(v, return_counts=True)
+        assert np.array_equal(models.counted_quantiles(values, np.cumsum(counts), q), np.quantile(v, q))
+    x = np.stack([rng.choice(rng.normal(size=100), 3000), rng.integers(0, 9, 3000), np.where(rng.random(3000) < 0.2, np.nan, rng.integers(0, 80, 3000))], axis=1)
+    y = (x[:, 1] + rng.normal(size=3000) > 5).astype(int)
+    sorted_ = []
+    plain = np.quantile
+    monkeypatch.setattr(np, "quantile", lambda v, *a: sorted_.append(len(v)) or plain(v, *a))
+    counted = models.Forest(n_trees=3, gamma=0.9).fit(x, y)
+    assert max(sorted_, default=0) <= 101
+    # The same by sorting: as if every row had a value of its own.
+    cuts = models.Tree._cuts
+
+    def by_rows(self, x, rows, f):
+        self._coded.values[f] = np.arange(len(x) + 1.0)
+        return cuts(self, x, rows, f)
+
+    monkeypatch.setattr(models.Coded, "at", lambda self, rows: models.Coded(list(self.values), self.codes))
+    monkeypatch.setattr(models.Tree, "_cuts", by_rows)
+    by_sort = models.Forest(n_trees=3, gamma=0.9).fit(x, y)
+    assert max(sorted_) > 1000 and [t.nodes for t in by_sort.trees] == [t.nodes for t in counted.trees] and by_sort.importance.tolist() == counted.importance.tolist()
